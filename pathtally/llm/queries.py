@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common
+from . import bpe, common, oracles, sharding, warc
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +14,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(common.table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(common.table(spark, sf_dir, "documents"), shards=8)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return warc.archive_pages(common.table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
