@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 #: What the Unicode property White_Space holds.
 WHITE = r"\u0009-\u000d \u0085   -     　"
-#: Words that a worker keeps encoded.
-CACHE = 300_000
-#: Symbols of the longest word that is kept.
+#: Python also takes these for white space.
+SEPARATORS = regex.compile(r"[\u001c-\u001f]")
+#: Runs between white space, and words, that a worker keeps encoded.
+CACHE = 400_000
+#: Characters of the longest run that is kept.
 KEEP = 64
-NONE = 1 << 60
+#: Rank of a pair that does not merge, and the node that holds it.
+NEVER = 1 << 30
+NONE = NEVER << 32
 
 
 def byte_symbols() -> list[str]:
@@ -44,7 +48,7 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def of_category(group: str) -> str:
+def of_category(group: str, below: int = 0x110000) -> str:
     """The characters of a general category, as ranges of a character class.
 
     Unicode's versions differ in the newest letters, so the tables of the library's own
@@ -52,7 +56,7 @@ def of_category(group: str) -> str:
     """
     from tokenizers import Regex, pre_tokenizers
 
-    chars = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    chars = [c for c in range(1, below) if not 0xD800 <= c < 0xE000]
     runs = pre_tokenizers.Split(Regex(rf"\p{{{group}}}+"), "removed", invert=True).pre_tokenize_str("".join(map(chr, chars)))
     return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
 
@@ -66,32 +70,58 @@ def newest_lower() -> dict[int, str]:
     return {ord(c): d for c, d in zip(new, low, strict=True) if c != d}
 
 
+def with_classes(split: str, below: int) -> str:
+    """The expression with its categories spelt out for characters below a limit."""
+    for group in "LN":
+        split = split.replace(rf"[\p{{{group}}}]", f"[{of_category(group, below)}]").replace(rf"\p{{{group}}}", of_category(group, below))
+    return split.replace(r"[^\s", f"[^{WHITE}")
+
+
 class PairTree:
-    """Minimum over leaves, leftmost on ties."""
+    """Segment tree over pair ranks: the root holds the lowest rank, leftmost on ties.
+
+    A node is rank << SHIFT | leaf, so that the plain minimum of two children decides both.
+    """
+
+    SHIFT = 32
 
     def __init__(self, ranks: list[int]):
-        self.base = 1
-        while self.base < len(ranks):
-            self.base *= 2
-        self.rank = [NONE] * self.base + ranks + [NONE] * (self.base - len(ranks))
-        self.leaf = [0] * self.base + list(range(self.base))
-        for k in range(self.base - 1, 0, -1):
-            self._pull(k)
-
-    def _pull(self, k: int) -> None:
-        best = 2 * k if self.rank[2 * k] <= self.rank[2 * k + 1] else 2 * k + 1
-        self.rank[k], self.leaf[k] = self.rank[best], self.leaf[best]
+        n = len(ranks)
+        self.base = base = 1 << (n - 1).bit_length()
+        node = [NONE] * base
+        node += [r << 32 | k for k, r in enumerate(ranks)]
+        node += [NONE] * (base - n)
+        for k in range(base - 1, 0, -1):
+            x, y = node[2 * k], node[2 * k + 1]
+            node[k] = x if x < y else y
+        self.node = node
 
     def put(self, leaf: int, rank: int) -> None:
-        k = self.base + leaf
-        self.rank[k] = rank
-        k //= 2
-        while k:
-            self._pull(k)
-            k //= 2
-
-    def least(self) -> tuple[int, int]:
-        return self.rank[1], self.leaf[1]
+        node, k = self.node, self.base + leaf
+        node[k] = rank << 32 | leaf
+        while k > 1:
+            k >>= 1
+            x, y = node[2 * k], node[2 * k + 1]
+            if x > y:
+                x = y
+            if node[k] == x:
+                return
+            node[k] = x
+
+
+class Known(dict):
+    """Results of a function by its argument, a bounded number of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        out = self.make(chunk)
+        if len(chunk) <= KEEP:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = out
+        return out
 
 
 class Vocabulary:
@@ -104,78 +134,87 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.merged = [self.ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.digits = {i: str(i) for i in (*self.ids.values(), *self.special.values())}
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.first, self.final = [self.ids.get(x) for x in symbols], [self.ids.get(x + self.suffix) for x in symbols]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        for group in "LN":
-            split = split.replace(rf"[\p{{{group}}}]", f"[{of_category(group)}]").replace(rf"\p{{{group}}}", of_category(group))
-        self.piece = regex.compile(split.replace(r"[^\s", f"[^{WHITE}"))
+        # one expression by the largest character: small classes are quick
+        self.pieces = [(chr(below - 1), regex.compile(with_classes(split, below))) for below in (0x80, 0x250, 0x110000)]
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.newest = newest_lower()
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known = Known(self._chunk)
+        self.words: dict[str, list[int]] = {}
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word, merged through the tree of its pair ranks."""
-        symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        ids = [self.ids[s] for s in symbols if s in self.ids]
-        if len(ids) < 2:
-            return ids
-        merges, absent = self.merges, (NONE, -1)
-        tree = PairTree([merges.get(p, absent)[0] for p in zip(ids, ids[1:], strict=False)])
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [i for b in raw[:-1] if (i := self.first[b]) is not None]
+        if (i := self.final[raw[-1]]) is not None:
+            ids.append(i)
         end = len(ids)
-        while True:
-            rank, at = tree.least()
-            if rank == NONE:
-                break
+        if end < 2:
+            return ids
+        rank_of, merged = self.ranks.get, self.merged
+        tree = PairTree([rank_of(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)])
+        node, put = tree.node, tree.put
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        while (root := node[1]) < NONE:
+            at = root & 0xFFFFFFFF
+            new = ids[at] = merged[root >> 32]
             gone = after[at]
-            ids[at] = merges[ids[at], ids[gone]][1]
             ids[gone] = -1
-            after[at] = after[gone]
-            if after[gone] < end:
-                before[after[gone]] = at
-                tree.put(at, merges.get((ids[at], ids[after[at]]), absent)[0])
+            nxt = after[at] = after[gone]
+            if nxt < end:
+                before[nxt] = at
+                put(gone, NEVER)
+                put(at, rank_of(new << 32 | ids[nxt], NEVER))
             else:
-                tree.put(at, NONE)
-            if gone < end - 1:
-                tree.put(gone, NONE)
-            if before[at] >= 0:
-                tree.put(before[at], merges.get((ids[before[at]], ids[at]), absent)[0])
+                put(at, NEVER)
+                if gone < end - 1:
+                    put(gone, NEVER)
+            if at:
+                left = before[at]
+                put(left, rank_of(ids[left] << 32 | new, NEVER))
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        ids = self.word_ids(word)
-        out = len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids)
-        if len(word) <= KEEP:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = out
-        return out
-
     def normal(self, text: str) -> str:
         if text.isascii():
-            return self.white.sub(" ", text).lower()
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text)).translate(self.newest)
+            return text.lower()
         # each character for itself: no other form of the sigma at a word's end
-        return text.replace("Σ", "σ").lower()
-
-    def parts(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """For each word: number of ids, the ids and the decoded tokens, joined by spaces."""
+        return unicodedata.normalize("NFC", text).translate(self.newest).replace("Σ", "σ").lower()
+
+    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+        """Number of ids, the ids and the decoded tokens of a run without white space."""
+        text = self.normal(chunk)
+        top = max(text, default="")
+        piece = next(p for last, p in self.pieces if top <= last)
+        ids: list[int] = []
+        for word in piece.findall(text):
+            own = self.words.get(word)
+            if own is None:
+                own = self.word_ids(word)
+                if len(word) <= KEEP:
+                    if len(self.words) >= CACHE:
+                        self.words.clear()
+                    self.words[word] = own
+            ids += own
+        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
+        """Number of ids, ids and decoded tokens (joined by spaces) of each run that has any."""
         if not text:
-            return
-        for k, run in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                yield 1, str(self.special[run]), run
-            elif run:
-                known = self.known
-                for word in self.piece.findall(self.normal(run)):
-                    got = known.get(word) or self._word(word)
-                    if got[0]:
-                        yield got
+            return []
+        if self.cut and any(map(text.__contains__, self.special)):
+            runs = self.cut.split(text)
+            if len(runs) > 1:
+                return [p for k, run in enumerate(runs) for p in ([(1, str(self.special[run]), run)] if k % 2 else self.parts(run))]
+        chunks = text.split() if not SEPARATORS.search(text) else self.white.split(text)
+        return [p for p in map(self.known.__getitem__, chunks) if p[0]]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]

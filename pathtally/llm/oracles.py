@@ -2,7 +2,7 @@
 
 #: A SHA-1 in hex as bare upper-case base32: each five hex digits are four base-32 digits.
 BASE32 = (
-    "list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
     "1 + (((('0x' || substr({hex}, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT), 1)), 'string_agg', '')"
 )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, oracles, sharding, warc
+from . import bpe, common, oracles, secrets, sharding, toxicity, warc
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(common.table(spark, sf_dir, "pages"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
