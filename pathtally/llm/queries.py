@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, oracles, secrets, sharding, toxicity, warc
+from . import bpe, common, linedup, oracles, secrets, sharding, superminhash, toxicity, warc
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return superminhash.near_duplicates(common.table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return linedup.repeated_lines(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
