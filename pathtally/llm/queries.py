@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, linedup, oracles, secrets, sharding, superminhash, toxicity, warc
+from . import ann, bpe, common, decontam, linedup, oracles, secrets, sharding, superminhash, toxicity, warc
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,16 @@ def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.repeated_lines(common.table(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return decontam.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
