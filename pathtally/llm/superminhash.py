@@ -7,10 +7,10 @@ level is one array operation over all elements of a batch, and each element's pe
 one Fisher-Yates step a level. Bands of registers make buckets.
 
 Texts of equal sets are one class. Within a bucket no pair list is made: a few pivots, the members
-that share most buckets first, are compared with the members of other components, links are confirmed
-on the full sets, components are joined, and only buckets that still hold several components and
-members that were no pivot go on. A bucket ends when it is one component or when all its members
-have been pivots, so no candidate pair between different components is left out.
+that share most buckets first, are compared with the members of other components that were no pivot yet, links are confirmed on
+the full sets, components are joined, and only buckets that still hold several components and
+members that were no pivot go on, with four times the pivots. A bucket ends when it is one component or
+when all its members have been pivots, so no candidate pair between components is left out.
 
 Null, empty or blank texts: empty set, no links, own component. Null ids: no links, component null,
 kept. Rows that repeat an id: each has the class of its own text. Other columns are not read.
@@ -32,8 +32,8 @@ REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 #: Elements that are handled at once.
 AT_ONCE = 150_000
-#: Pivots of a bucket and round.
-PIVOTS = 6
+#: Pivots of a bucket in the first round; each round has four times as many.
+PIVOTS = 8
 EMPTY = np.int64(1 << 62)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,33 +156,29 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     needed = members.select(F.col("id").alias("doc_id"), "d1").distinct()
     texts = given.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = common.stage(full_sets(texts, size).join(needed, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), folder, "sets")
-    links, labels, tested = None, None, None
+    links, labels = None, None
     turn = 0
     while True:
         turn += 1
         now = members.withColumn("label", F.col("id")) if labels is None else (
             members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         )
-        place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS))
-        picks = [F.max_by("id", F.when((place == p) & ~F.col("used"), F.col("score"))).alias(f"p{p}") for p in range(PIVOTS)]
-        buckets = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *picks).where("low < high")
-        pivots = buckets.select("key", F.explode(F.array_compact(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)])))).alias("id"))
-        now = common.stage(now.join(buckets.select("key"), "key", "left_semi"), folder, f"now-{turn}")
-        pivots = common.stage(pivots.join(now.where("not used").select("key", "id"), ["key", "id"], "left_semi").distinct(), folder, f"pivots-{turn}")
+        open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("used").alias("over")).where("low < high and not over")
+        now = common.stage(now.join(open_.select("key"), "key", "left_semi"), folder, f"now-{turn}")
+        place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS * 4 ** (turn - 1)))
+        picks = now.where("not used").groupBy("key", place.alias("place")).agg(F.max_by("id", "score").alias("id"))
+        pivots = common.stage(picks.select("key", "id"), folder, f"pivots-{turn}")
         if not pivots.take(1):
             break
         chosen = now.join(pivots, ["key", "id"]).select("key", F.col("id").alias("pid"), F.col("d1").alias("p1"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
         pairs = (
-            now.join(chosen, "key").where("label <> plabel and id <> pid").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+            now.join(chosen, "key").where("not used and label <> plabel and id <> pid").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
             .select(
                 F.when(F.col("id") < F.col("pid"), F.struct(F.col("id").alias("a"), F.col("d1").alias("a1"), F.col("pid").alias("b"), F.col("p1").alias("b1")))
                 .otherwise(F.struct(F.col("pid").alias("a"), F.col("p1").alias("a1"), F.col("id").alias("b"), F.col("d1").alias("b1"))).alias("x")
             ).select("x.*").distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "a1", "b", "b1"], "left_anti")
         pairs = common.stage(pairs, folder, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
         left = sets.select(F.col("doc_id").alias("a"), F.col("d1").alias("a1"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("d1").alias("b1"), F.col("shingles").alias("sb"))
         both = pairs.join(left, ["a", "a1"]).join(right, ["b", "b1"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -193,7 +189,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         members = now.join(pivots.withColumn("was", F.lit(True)), ["key", "id"], "left").select(
             "key", "id", "d1", "n", "score", F.coalesce("was", "used").alias("used")
         )
-        members = common.stage(members, folder, f"members-{turn}")
     of_class = classes if labels is None else classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id") if labels is not None else F.coalesce("rep", "doc_id")
     linked = F.col("n_shingles") > 0
