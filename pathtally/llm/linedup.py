@@ -105,7 +105,7 @@ def within_one(a: list[str], b: list[str]) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h1, h2 (digest), n (words), near (keys of halves; null for short lines)."""
+    """doc_id, line, h1, h2 (digest), near (keys of halves; null for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,42 +115,44 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")) if text else ():
                         words = line.split()
                         if len(words) >= MIN_WORDS:
-                            rows.append((doc, k, *digest(words), len(words), halves(words) if len(words) >= NEAR_WORDS else None))
+                            rows.append((doc, k, *digest(words), halves(words) if len(words) >= NEAR_WORDS else None))
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "line", "h1", "h2", "n", "near"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "line", "h1", "h2", "near"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, n int, near array<long>")
+    return docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, near array<long>")
 
 
 def line_words(docs: DataFrame) -> DataFrame:
-    """doc_id, line, words (joined by one space) of chosen lines."""
+    """doc_id, line, first, last, words (joined by one space) of chosen lines."""
 
     @F.pandas_udf("array<string>")
-    def pick(texts: pd.Series, chosen: pd.Series) -> pd.Series:
+    def pick(texts: pd.Series, lines: pd.Series) -> pd.Series:
         out = []
-        for text, lines in zip(texts, chosen, strict=True):
+        for text, own in zip(texts, lines, strict=True):
             split = text.encode("utf-8", "surrogatepass").split(b"\n")
-            out.append([b" ".join(split[k].split()).decode("utf-8", "surrogatepass") if k < len(split) else "" for k in lines])
+            out.append([b" ".join(split[k].split()).decode("utf-8", "surrogatepass") if k < len(split) else "" for k in own])
         return pd.Series(out)
 
-    got = docs.select("doc_id", F.explode(F.arrays_zip(F.col("chosen").alias("line"), pick("text", "chosen").alias("words"))).alias("x"))
-    return got.select("doc_id", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    got = docs.select("doc_id", F.explode(F.arrays_zip(F.col("chosen").alias("x"), pick("text", "chosen.line").alias("words"))).alias("y"))
+    return got.select("doc_id", "y.x.line", "y.x.first", "y.x.last", "y.words")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line, keep_doc_id, keep_line, edits (0 or 1) of every line that is dropped."""
     folder = common.shared_dir(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = common.stage(lines_of(given).withColumn("at", place("doc_id", "line")), folder, "lines")
+    lines = common.stage(lines_of(given), folder, "lines")
     # equal digests have equal words, so any value of the class is the value
-    classes = common.stage(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies")), folder, "classes")
-    firsts = lines.where("near is not null").join(classes.select("h1", "h2", "at"), ["h1", "h2", "at"], "left_semi").dropDuplicates(["h1", "h2"])
-    keyed = firsts.select("at", "doc_id", "line", F.explode("near").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b").select("key")
-    chosen = common.stage(keyed.join(shared, "key", "left_semi").select("doc_id", "line").distinct(), folder, "chosen")
-    by_doc = chosen.groupBy("doc_id").agg(F.collect_list("line").alias("chosen"))  # lines of one document
-    texts = common.stage(line_words(given.where("text is not null").join(by_doc, "doc_id")).dropDuplicates(["doc_id", "line"]), folder, "words")
+    classes = common.stage(lines.groupBy("h1", "h2").agg(F.min(place("doc_id", "line")).alias("at"), F.count("*").alias("copies")), folder, "classes")
+    keyed = lines.where("near is not null").select("h1", "h2", F.posexplode("near").alias("side", "key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    sides = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
+    chosen = sides.join(classes.where("at is not null"), ["h1", "h2"]).select(doc_of("at").alias("doc_id"), F.struct(line_of("at").alias("line"), "first", "last").alias("x"))
+    by_doc = common.stage(chosen.groupBy("doc_id").agg(F.collect_list("x").alias("chosen")), folder, "chosen")  # lines of one document
+    # both sides are dealt by id, whatever their size: the ids grow with the documents
+    texts = given.where("text is not null").join(by_doc.hint("merge"), "doc_id")
+    texts = common.stage(line_words(texts).dropDuplicates(["doc_id", "line"]), folder, "words")
     keys = common.stage(emitted(texts).withColumn("at", place("doc_id", "line")).drop("doc_id", "line"), folder, "variants")
     near = None
     for mine, theirs in (("kind = 0", "kind = 0"), ("kind = 2", "kind = 1"), ("kind = 1", "kind = 2")):
@@ -170,16 +172,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # classes of one line without an earlier near copy drop nothing
     fate = fate.join(classes.where("copies > 1").select("h1", "h2", F.lit(True).alias("many")), ["h1", "h2"], "left").where("many or keep < first")
     return (
-        lines.select("doc_id", "line", "h1", "h2", "at").join(fate, ["h1", "h2"]).where("keep < at")
+        lines.select("doc_id", "line", "h1", "h2", place("doc_id", "line").alias("at")).join(fate, ["h1", "h2"]).where("keep < at")
         .select("doc_id", "line", doc_of("keep").alias("keep_doc_id"), line_of("keep").alias("keep_line"), (F.col("keep") < F.col("first")).cast("int").alias("edits"))
         .distinct()
     )
 
 
 def emitted(lines: DataFrame) -> DataFrame:
-    """Variants of lines (doc_id, line, words): doc_id, line, kind, key.
+    """Variants of lines (doc_id, line, first, last, words): doc_id, line, kind, key.
 
-    Kinds: 0 a word blanked, 1 the whole line, 2 a word left out; 1 and 2 share one space of keys.
+    A line that shares its first half can only differ behind it, and the other way round. Kinds: 0 a word blanked, 1 the whole line, 2 a word left out; 1 and 2 share one space of keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +194,16 @@ def emitted(lines: DataFrame) -> DataFrame:
             def out(parts) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
-            for doc, line, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, line, first, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 n = len(words)
                 if n < NEAR_WORDS:
                     continue
                 blank, less, whole = variants(hashes.of(words), powers(n))
+                where = slice(0 if last else (n - 1) // 2, n if first else n - (n - 1) // 2)
+                blank, less = blank[where], less[where]
                 key = np.concatenate([blank, less, np.array([whole], np.uint64)]).view(np.int64)
-                kind = np.concatenate([np.zeros(n, np.int8), np.full(n, 2, np.int8), np.ones(1, np.int8)])
+                kind = np.repeat(np.array([0, 2, 1], np.int8), [len(blank), len(less), 1])
                 parts.append((np.full(len(key), doc, np.int64), np.full(len(key), line, np.int32), kind, key))
                 held += len(key)
                 if held > 100_000:
@@ -208,7 +212,7 @@ def emitted(lines: DataFrame) -> DataFrame:
             if parts:
                 yield out(parts)
 
-    return lines.select("doc_id", "line", "words").mapInArrow(run, "doc_id long, line int, kind byte, key long")
+    return lines.select("doc_id", "line", "first", "last", "words").mapInArrow(run, "doc_id long, line int, kind byte, key long")
 
 
 def drop_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
