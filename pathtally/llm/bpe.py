@@ -8,7 +8,7 @@ words it has met in a bounded table.
 
 Null, empty: no tokens, the decoded text is empty. Texts of white space only: the same. Special
 strings of the vocabulary in a text become their own token, as in the library. Repeated rows
-and repeated ids give a row each; other columns are left out by ``encode_table`` unless named.
+and repeated ids give a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -239,34 +240,31 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256, decoded_sha256; ``full`` adds ids and decoded.
+def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256; on request ids and decoded.
 
     A map over the table: no shuffle, memory of one batch. ``path`` names a file that every
     executor has; without it, each worker asks the tokenizer package for its own copy.
     """
-    extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if full else []
-    schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *extra])
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_decoded]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids, *[pa.string()] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_path())
         for batch in batches:
-            n, ids_hex, text_hex, ids_out, texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                got = list(vocab.parts(text))
-                ids, decoded = " ".join([p[1] for p in got]), " ".join([p[2] for p in got])
-                n.append(sum([p[0] for p in got]))
-                ids_hex.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hex.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                if full:
-                    ids_out.append([int(i) for i in ids.split(" ")] if ids else [])
-                    texts.append(decoded)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
-            if full:
-                arrays += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[0], *schema.names])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = []
+                for text in part.column(1).to_pylist():
+                    got = vocab.parts(text)
+                    n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
+                    ids, decoded = " ".join(ids), " ".join(decoded)
+                    row = [sum(n), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
+                    rows.append((*row, *[np.array(ids.split(), np.int32)] * with_ids, *[decoded] * with_decoded))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[batch.schema.names[0], *names])
 
     given = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = given.schema[id_col].dataType.simpleString()
-    more = ", ids array<int>, decoded string" if full else ""
+    more = ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return given.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -23,12 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POSITIVE, NEGATIVE = 1500, 3000
+POSITIVE, NEGATIVE = 1000, 2000
 WINDOW, STEP = 32, 16
 HIDDEN = 8
 GRAMS = (3, 4, 5)
@@ -76,11 +78,31 @@ class Inputs:
 
     def __init__(self, words: dict[str, float], parts: dict[str, float]):
         self.words, self.parts = words, parts
+        self.known: dict[str, tuple[float, ...]] = {}
+        self.finder = None
+
+    def __getstate__(self):
+        return {"words": self.words, "parts": self.parts}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
     def vector(self, raw: str) -> tuple[float, ...]:
         word = plain(raw)
-        get = self.parts.get
-        hits = [s for g in grams(word) if (s := get(g)) is not None] if word else []
+        out = self.known.get(word)
+        if out is None:
+            out = self.known[word] = self._vector(word)
+        return out
+
+    def _vector(self, word: str) -> tuple[float, ...]:
+        if self.finder is None:  # all n-grams at once
+            self.finder = ahocorasick.Automaton()
+            for gram, s in self.parts.items():
+                self.finder.add_word(gram, s)
+            self.finder.make_automaton()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        hits = [s for _, s in self.finder.iter(f"^{word}$")] if word and self.parts else []
         own = self.words.get(word, 0.0)
         return (own / 4, max(hits, default=0.0) / 4, min(hits, default=0.0) / 4, sum(hits) / 16, float(own > 2), float(len(word) > 12), 1.0)
 
@@ -91,7 +113,8 @@ def windows(n: int) -> list[int]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 class Network:
@@ -344,6 +367,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(*sample(docs, labels))
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents that score below ``THRESHOLD``, all columns."""
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in parts:
+            own = [t if isinstance(t, str) else None for t in texts]
+            yield pd.Series([s for k in range(0, len(own), 200) for s in scorer.scores(own[k : k + 200])], dtype="float64")
+
+    return docs.where(scored(F.col(text_col).cast("string")) < THRESHOLD)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row: a map, no shuffle."""
 
