@@ -36,6 +36,8 @@ TREES = 16
 LEAF = 400
 #: Recall that the number of leaves is set for, measured on so many sampled queries.
 RECALL, PROBES = 0.96, 200
+#: Rows of results that a task merges at once.
+HELD = 200_000
 SEED = 3
 
 
@@ -199,14 +201,29 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.reshape(-1)))
         return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), pa.array(np.full(len(ids), kind, np.int8)), pa.array(ids), lists], names=["tree", "leaf", "kind", "vec_id", "v"])
 
+    def merged(parts: list) -> tuple:
+        """The k best of each query, each vector once."""
+        query, vec, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+        query, vec, score = query[new], vec[new], score[new]
+        first = np.searchsorted(query, query)
+        best = np.arange(len(query)) - first < k
+        return query[best], vec[best], score[best]
+
+    def sent_on(part: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["query_id", "vec_id", "score"])
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (tree, leaf, kind): the leaf's vectors come before its queries."""
         here, ids, xs, norms, block = None, [], [], None, None
+        out, held = [], 0
         for batch in batches:
             tree, leaf, kind = (batch.column(c).to_numpy() for c in range(3))
             names, x = batch.column(3).to_numpy(), matrix(batch.column(4), dim)
             breaks = np.flatnonzero(np.diff(tree) | np.diff(leaf) | np.diff(kind)) + 1
-            out = []
             for a, b in zip([0, *breaks], [*breaks, len(tree)], strict=True):
                 if a == b:
                     continue
@@ -229,10 +246,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                     for i in range(len(q)):
                         cand = top[i][rough[i, top[i]] > -np.inf]
                         exact = (block[cand] * q[i]).sum(1) / (np.sqrt((q[i] * q[i]).sum()) * norms[cand])
-                        best = np.lexsort((own[cand], -exact))[: k + 1]
+                        best = np.lexsort((own[cand], -exact))[:k]
                         out.append((np.full(len(best), names[c + i]), own[cand][best], exact[best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                        held += len(best)
+                if held > HELD:  # the best so far of each query; sent on if these are many
+                    out = [merged(out)]
+                    held = len(out[0][0])
+                    if 2 * held > HELD:
+                        yield sent_on(out[0])
+                        out, held = [], 0
+        if out:
+            yield sent_on(merged(out))
 
     schema = "tree int, leaf int, kind byte, vec_id long, v array<double>"
     placed = indexed.where(wanted).mapInArrow(place, schema)

@@ -9,8 +9,10 @@ one Fisher-Yates step a level. Bands of registers make buckets.
 Texts of equal sets are one class. Within a bucket no pair list is made: a few pivots, the members
 that share most buckets first, are compared with the members of other components that were no pivot yet, links are confirmed on
 the full sets, components are joined, and only buckets that still hold several components and
-members that were no pivot go on, with four times the pivots. A bucket ends when it is one component or
-when all its members have been pivots, so no candidate pair between components is left out.
+members that were no pivot go on, with more pivots. A bucket ends when it is one component or
+when all its members have been pivots, so no candidate pair between components is left out. Pairs
+are refused within the join where sizes, or the parities of 512 bins of shingles, show that they
+can't reach the bound; only the rest meets its full sets.
 
 Null, empty or blank texts: empty set, no links, own component. Null ids: no links, component null,
 kept. Rows that repeat an id: each has the class of its own text. Other columns are not read.
@@ -32,8 +34,10 @@ REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 #: Elements that are handled at once.
 AT_ONCE = 150_000
-#: Pivots of a bucket in the first round; each round has four times as many.
+#: Pivots of a bucket in the first round; each round has 16 times as many.
 PIVOTS = 8
+#: 64-bit words of a set's parities.
+WORDS = 8
 EMPTY = np.int64(1 << 62)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,8 +92,14 @@ def band_keys(h: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 512 bins of elements, whether the set has an odd number of them."""
+    bins = (common.mix(s) >> np.uint64(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(bins, minlength=64 * WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), bands, from doc_id and text."""
+    """doc_id, n_shingles, d1, d2 (digest of the set), bands, parity, from doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
@@ -101,7 +111,10 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             flat = pa.array(keys[n > 0].reshape(-1))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(np.concatenate([parities(s) for s in sets])))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(n), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands, parity], names=["doc_id", "n_shingles", "d1", "d2", "bands", "parity"]
+            )
 
         for batch in batches:
             ids, sets, n = [], [], 0
@@ -115,7 +128,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             if ids:
                 yield out(ids, sets)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -134,6 +147,16 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, d1 long, shingles array<long>")
 
 
+def may_link(percent: int) -> F.Column:
+    """Whether a pair (n, parity; pn, pparity) can reach the bound: exact for those that it refuses.
+
+    The intersection is at most the smaller size, and each element that only one of the sets has
+    flips one bit of the parities, so these differ in no more bits than the sets in elements.
+    """
+    differ = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("pparity")[k])) for k in range(WORDS)), F.lit(0))
+    return (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (differ * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -147,7 +170,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = common.stage(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), folder, "classes")
     reps = real.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "d1", F.col("n_shingles").alias("n"))
+    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "d1", F.col("n_shingles").alias("n"), "parity")
     crowded = banded.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = banded.join(crowded, "key")
     # whoever shares most buckets is the likeliest original of a group
@@ -165,14 +188,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
         )
         open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("used").alias("over")).where("low < high and not over")
         now = common.stage(now.join(open_.select("key"), "key", "left_semi"), folder, f"now-{turn}")
-        place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS * 4 ** (turn - 1)))
+        place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS * 16 ** (turn - 1)))
         picks = now.where("not used").groupBy("key", place.alias("place")).agg(F.max_by("id", "score").alias("id"))
         pivots = common.stage(picks.select("key", "id"), folder, f"pivots-{turn}")
         if not pivots.take(1):
             break
-        chosen = now.join(pivots, ["key", "id"]).select("key", F.col("id").alias("pid"), F.col("d1").alias("p1"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
+        chosen = now.join(pivots, ["key", "id"]).select("key", F.col("id").alias("pid"), F.col("d1").alias("p1"), F.col("n").alias("pn"), F.col("label").alias("plabel"), F.col("parity").alias("pparity"))
         pairs = (
-            now.join(chosen, "key").where("not used and label <> plabel and id <> pid").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+            now.join(chosen, "key").where("not used and label <> plabel and id <> pid").where(may_link(percent))
             .select(
                 F.when(F.col("id") < F.col("pid"), F.struct(F.col("id").alias("a"), F.col("d1").alias("a1"), F.col("pid").alias("b"), F.col("p1").alias("b1")))
                 .otherwise(F.struct(F.col("pid").alias("a"), F.col("p1").alias("a1"), F.col("id").alias("b"), F.col("d1").alias("b1"))).alias("x")
@@ -187,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
             links = found if links is None else links.union(found)
             labels = common.components(spark, links, folder, f"labels-{turn}")
         members = now.join(pivots.withColumn("was", F.lit(True)), ["key", "id"], "left").select(
-            "key", "id", "d1", "n", "score", F.coalesce("was", "used").alias("used")
+            "key", "id", "d1", "n", "parity", "score", F.coalesce("was", "used").alias("used")
         )
     of_class = classes if labels is None else classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id") if labels is not None else F.coalesce("rep", "doc_id")
