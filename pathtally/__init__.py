@@ -1,0 +1 @@
+"""A PySpark-native engine for counting on sequence graphs."""
