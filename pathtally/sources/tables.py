@@ -29,7 +29,8 @@ def parse_bed(lines: DataFrame, blocks: bool = True) -> DataFrame:
     n = F.size("c")
     rows = rows.select("rank", F.when(n == 2, F.raise_error(F.concat(F.lit("a line of two columns: "), F.col("c")[0]))).otherwise(F.col("c")).alias("c"))
     name = names.parse_name(F.col("c")[0])
-    rows = rows.select("rank", "c", name.alias("n"), F.size("c").alias("size"))
+    # masks are short lists; cached here, the parsed names enter later plans as columns
+    rows = rows.select("rank", "c", name.alias("n"), F.size("c").alias("size")).persist()
     start = F.when(F.col("size") == 1, F.col("n.start")).otherwise(F.col("c")[1].cast("long"))
     end = F.when(F.col("size") == 1, F.col("n.end")).otherwise(F.col("c")[2].cast("long"))
     if blocks:
@@ -44,7 +45,7 @@ def parse_bed(lines: DataFrame, blocks: bool = True) -> DataFrame:
         start, end = F.col("x.start"), F.col("x.end")
     id_ = names.path_id(F.col("n.sample"), F.col("n.hap"), F.col("n.seqid"))
     rows = rows.select("rank", id_.alias("id"), start.alias("start"), end.alias("end"))
-    return rows.withColumn("display", names.display(F.col("id"), F.col("start"), F.col("end")))
+    return rows.withColumn("display", names.display(F.col("id"), F.col("start"), F.col("end"))).persist()
 
 
 def read_bed(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
