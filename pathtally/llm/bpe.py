@@ -114,12 +114,12 @@ class Known(dict):
     """Results of a function by its argument, a bounded number of them."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.most = make, CACHE
 
     def __missing__(self, chunk: str):
         out = self.make(chunk)
         if len(chunk) <= KEEP:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = out
         return out
@@ -200,7 +200,7 @@ class Vocabulary:
             if own is None:
                 own = self.word_ids(word)
                 if len(word) <= KEEP:
-                    if len(self.words) >= CACHE:
+                    if len(self.words) >= self.known.most:
                         self.words.clear()
                     self.words[word] = own
             ids += own
@@ -240,17 +240,19 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, cache: int = CACHE) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; on request ids and decoded.
 
     A map over the table: no shuffle, memory of one batch. ``path`` names a file that every
-    executor has; without it, each worker asks the tokenizer package for its own copy.
+    executor has; without it, each worker asks the tokenizer package for its own copy. A worker
+    keeps ``cache`` encoded runs during a task.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_decoded]
     kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids, *[pa.string()] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_path())
+        vocab.known.most = cache
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -260,9 +262,11 @@ def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                     n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
                     ids, decoded = " ".join(ids), " ".join(decoded)
                     row = [sum(n), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
-                    rows.append((*row, *[np.array(ids.split(), np.int32)] * with_ids, *[decoded] * with_decoded))
+                    rows.append((*row, *[np.fromstring(ids, np.int32, sep=" ")] * with_ids, *[decoded] * with_decoded))
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[batch.schema.names[0], *names])
+        vocab.known.clear()  # the worker may go on to other tasks
+        vocab.words.clear()
 
     given = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = given.schema[id_col].dataType.simpleString()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Arrow batches stay small, so that a batch of very long texts fits a Python worker.
 ARROW_ROWS = 1000
 #: Words whose hashes a Python worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

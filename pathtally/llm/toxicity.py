@@ -36,7 +36,7 @@ HIDDEN = 8
 GRAMS = (3, 4, 5)
 LEAST_DOCS, LEAST_Z = 3, 2.5
 FEATURES = 7
-CACHE = 120_000
+CACHE = 60_000
 BATCH = 2048
 THRESHOLD = 0.7
 SEED = 7
