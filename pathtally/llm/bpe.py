@@ -149,7 +149,7 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.newest = newest_lower()
         self.known = Known(self._chunk)
-        self.words: dict[str, list[int]] = {}
+        self.words = Known(self._word)
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word, merged through the tree of its pair ranks."""
@@ -189,22 +189,26 @@ class Vocabulary:
         # each character for itself: no other form of the sigma at a word's end
         return unicodedata.normalize("NFC", text).translate(self.newest).replace("Σ", "σ").lower()
 
+    def _word(self, word: str) -> tuple[int, str, str]:
+        ids = self.word_ids(word)
+        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded tokens of a run without white space."""
-        text = self.normal(chunk)
-        top = max(text, default="")
-        piece = next(p for last, p in self.pieces if top <= last)
-        ids: list[int] = []
-        for word in piece.findall(text):
-            own = self.words.get(word)
-            if own is None:
-                own = self.word_ids(word)
-                if len(word) <= KEEP:
-                    if len(self.words) >= self.known.most:
-                        self.words.clear()
-                    self.words[word] = own
-            ids += own
-        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+        if chunk.isascii():
+            text = chunk.lower()
+            if text.isalpha():
+                return self.words[text]
+            found = self.pieces[0][1].findall(text)
+        else:
+            text = self.normal(chunk)
+            top = max(text, default="")
+            found = next(p for last, p in self.pieces if top <= last).findall(text)
+        parts = [p for p in map(self.words.__getitem__, found) if p[0]]
+        if len(parts) == 1:
+            return parts[0]
+        n, ids, names = zip(*parts, strict=True) if parts else ((), (), ())
+        return sum(n), " ".join(ids), " ".join(names)
 
     def parts(self, text: str | None) -> list[tuple[int, str, str]]:
         """Number of ids, ids and decoded tokens (joined by spaces) of each run that has any."""
@@ -252,7 +256,7 @@ def encode_table(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_path())
-        vocab.known.most = cache
+        vocab.known.most = vocab.words.most = cache
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
