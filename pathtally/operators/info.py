@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, every: int = 3) -> DataFrame:
     """node_id, component (its smallest node), by least labels and pointer jumping.
 
-    Lineage is cut by a checkpoint in the shared folder every few rounds; a folder must be set.
+    Lineage is cut by a checkpoint every few rounds, in the folder of ``spark.checkpoint.dir``; where
+    none is set, as on one machine, a temporary one is.
     """
+    spark = nodes.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pathtally-')}")
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct().persist()
     labels = nodes.select("node_id", F.col("node_id").alias("component"))
     k = 0

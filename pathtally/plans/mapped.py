@@ -209,10 +209,6 @@ def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = mapped_graph(spark, sf_dir)
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pathtally-')}")
     edges = g.edges.where("(u + v) % 13 = 0 and v < u + 40")
     return info.components(g.nodes, edges)
 
