@@ -1,7 +1,7 @@
 """Byte-level BPE with word ends, encoded through a segment tree over pair ranks.
 
 Every adjacent pair of symbols of a word has the rank of its merge (infinite if there is none).
-A segment tree over the pairs keeps, in its root, the leftmost pair of the lowest rank; a merge
+A segment tree over the pairs gives, at its root, the leftmost pair of the lowest rank; a merge
 blanks one leaf and renews its two neighbours, each in logarithmic time, until the root is
 infinite. A very long word therefore takes n log n steps. Each worker keeps the result of the
 words it has met in a bounded table.
@@ -17,6 +17,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ KEEP = 64
 #: Rank of a pair that does not merge, and the node that holds it.
 NEVER = 1 << 30
 NONE = NEVER << 32
+#: Characters from here on need the tables of all Unicode; below it none is unassigned.
+WIDE = 0x250
 
 
 def byte_symbols() -> list[str]:
@@ -79,35 +82,36 @@ def with_classes(split: str, below: int) -> str:
 
 
 class PairTree:
-    """Segment tree over pair ranks: the root holds the lowest rank, leftmost on ties.
+    """Segment tree over pair ranks: the root is the lowest rank, leftmost on ties.
 
-    A node is rank << SHIFT | leaf, so that the plain minimum of two children decides both.
+    A node is rank << 32 | leaf, so that the plain minimum of its children decides both. Nodes
+    have ``FAN`` children; those of the root are ``top``. Short words have no level in between.
     """
 
-    SHIFT = 32
+    SHIFT = 4
+    FAN = 1 << SHIFT
 
     def __init__(self, ranks: list[int]):
-        n = len(ranks)
-        self.base = base = 1 << (n - 1).bit_length()
-        node = [NONE] * base
-        node += [r << 32 | k for k, r in enumerate(ranks)]
-        node += [NONE] * (base - n)
-        for k in range(base - 1, 0, -1):
-            x, y = node[2 * k], node[2 * k + 1]
-            node[k] = x if x < y else y
-        self.node = node
-
-    def put(self, leaf: int, rank: int) -> None:
-        node, k = self.node, self.base + leaf
-        node[k] = rank << 32 | leaf
-        while k > 1:
-            k >>= 1
-            x, y = node[2 * k], node[2 * k + 1]
-            if x > y:
-                x = y
-            if node[k] == x:
+        self.leaves = level = [r << 32 | k for k, r in enumerate(ranks)]
+        self.levels = [level]
+        while len(level) > self.FAN:
+            level = [min(level[k : k + self.FAN]) for k in range(0, len(level), self.FAN)]
+            self.levels.append(level)
+        self.top = level
+
+    def root(self) -> int:
+        return min(self.top)
+
+    def renew(self, leaf: int) -> None:
+        """Carries a changed leaf up to the root's children."""
+        below = self.leaves
+        for level in self.levels[1:]:
+            leaf >>= self.SHIFT
+            least = min(below[leaf << self.SHIFT : leaf + 1 << self.SHIFT])
+            if level[leaf] == least:
                 return
-            node[k] = x
+            level[leaf] = least
+            below = level
 
 
 class Known(dict):
@@ -144,13 +148,22 @@ class Vocabulary:
         self.first, self.final = [self.ids.get(x) for x in symbols], [self.ids.get(x + self.suffix) for x in symbols]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # one expression by the largest character: small classes are quick
-        self.pieces = [(chr(below - 1), regex.compile(with_classes(split, below))) for below in (0x80, 0x250, 0x110000)]
+        self.split = split
+        self.pieces = [(chr(below - 1), regex.compile(with_classes(split, below))) for below in (0x80, WIDE)]
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.newest = newest_lower()
         self.known = Known(self._chunk)
         self.words = Known(self._word)
 
+    @cached_property
+    def wide(self) -> regex.Pattern:
+        """The expression for all characters, built when a worker meets one that needs it."""
+        return regex.compile(with_classes(self.split, 0x110000))
+
+    @cached_property
+    def newest(self) -> dict[int, str]:
+        return newest_lower()
+
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word, merged through the tree of its pair ranks."""
         raw = word.encode("utf-8", "surrogatepass")
@@ -162,32 +175,40 @@ class Vocabulary:
             return ids
         rank_of, merged = self.ranks.get, self.merged
         tree = PairTree([rank_of(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)])
-        node, put = tree.node, tree.put
+        leaves, top = tree.leaves, tree.top
+        deep = top is not leaves
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        while (root := node[1]) < NONE:
-            at = root & 0xFFFFFFFF
+        while (root := min(top)) < NONE:
+            at = left = root & 0xFFFFFFFF
             new = ids[at] = merged[root >> 32]
             gone = after[at]
             ids[gone] = -1
             nxt = after[at] = after[gone]
             if nxt < end:
                 before[nxt] = at
-                put(gone, NEVER)
-                put(at, rank_of(new << 32 | ids[nxt], NEVER))
+                leaves[at] = rank_of(new << 32 | ids[nxt], NEVER) << 32 | at
             else:
-                put(at, NEVER)
-                if gone < end - 1:
-                    put(gone, NEVER)
+                leaves[at] = NONE
+            if gone < end - 1:
+                leaves[gone] = NONE
             if at:
                 left = before[at]
-                put(left, rank_of(ids[left] << 32 | new, NEVER))
+                leaves[left] = rank_of(ids[left] << 32 | new, NEVER) << 32 | left
+            if deep:
+                tree.renew(left)
+                tree.renew(at)
+                if gone < end - 1:
+                    tree.renew(gone)
         return [i for i in ids if i >= 0]
 
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
         # each character for itself: no other form of the sigma at a word's end
-        return unicodedata.normalize("NFC", text).translate(self.newest).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text)
+        if max(text) < chr(WIDE):
+            return text.lower()
+        return text.translate(self.newest).replace("Σ", "σ").lower()
 
     def _word(self, word: str) -> tuple[int, str, str]:
         ids = self.word_ids(word)
@@ -203,7 +224,8 @@ class Vocabulary:
         else:
             text = self.normal(chunk)
             top = max(text, default="")
-            found = next(p for last, p in self.pieces if top <= last).findall(text)
+            found = next((p for last, p in self.pieces if top <= last), None)
+            found = (found or self.wide).findall(text)
         parts = [p for p in map(self.words.__getitem__, found) if p[0]]
         if len(parts) == 1:
             return parts[0]
