@@ -16,4 +16,25 @@ SELECT page_id, payload_bytes, {BASE32.format(hex="hex")} AS payload_digest,
 FROM f
 """
 
-ORACLES = {"op1_warc": OP1}
+OP5 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS shingles
+  FROM t
+),
+c AS (SELECT doc_id, len(shingles) AS n, shingles, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS rep FROM s),
+e AS (SELECT rep, n, unnest(shingles) AS x FROM c WHERE doc_id = rep),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS node, rep AS root FROM c WHERE doc_id = rep UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN m ON c.rep = m.node
+"""
+
+ORACLES = {"op1_warc": OP1, "op5_superminhash": OP5}
