@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows of items or their pieces, verification.
 
 Words are symbols. The CGK walk reads a sequence with a pointer that advances, at each step, by a
 random bit of (step, symbol): sequences within a small edit distance give outputs within a small
@@ -6,11 +6,16 @@ Hamming distance. Each of ``TABLES`` tables has its own walk and samples ``SAMPL
 windows of the size of an item whose samples equal the item's are candidates, and the best
 alignment of the item with the text around them is computed exactly.
 
+The share of equal places falls with the number of edits, so items of more than ``PIECE`` words are
+looked up by equal pieces of at most so many. If every piece of l words had more than l // 5 edits,
+the item of L words would have more than L // 5; so one piece at least is within its own bound, and
+a window that equals the samples of any piece makes its whole item a candidate.
+
 An item of L words is found where at most L // 5 word edits (none below 6 words) turn it into a
-passage of the text. Such a passage keeps at least L - 2 - 3 * (L // 5) of the item's three-word
-runs, so windows with fewer runs of any item are left out before the walk; nothing is lost by it.
-With a place of the outputs equal at a share p, a table misses with 1 - p ** SAMPLES; 24 tables of 2
-samples reach 0.99 at p = 0.42, which passages at the bound exceed (tests measure the recall).
+passage of the text. Such a passage keeps at least L - 2 - 3 * (L // 5) of the item's (or piece's)
+three-word runs, so windows with fewer runs of any item are left out before the walk; nothing is
+lost by it. With a place of the outputs equal at a share p, a table misses with 1 - p ** SAMPLES; 24
+tables of 2 samples reach 0.99 at p = 0.42. Tests and the README measure the recall at the bound.
 
 Items go to the tasks in blocks of at most ``BLOCK`` (one scan of the documents a block), so what is
 sent does not grow with the benchmark. Null, empty texts and items: no match. Items of fewer than
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TABLES, SAMPLES = 24, 2
+#: Words of a piece at most; longer items are looked up by several.
+PIECE = 30
 BLOCK = 2000
 SEED = 11
 #: Lengths in one class differ by this factor at most.
@@ -51,6 +58,12 @@ def runs_kept(length: int) -> int:
     return max(1, length - (RUN - 1) - RUN * bound(length))
 
 
+def pieces(length: int) -> list[tuple[int, int]]:
+    """Start and end of the pieces by which an item of this length is looked up."""
+    n = -(-length // PIECE)
+    return [(k * length // n, (k + 1) * length // n) for k in range(n)]
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits between the item and any part of the text, and that part (start, end)."""
 
@@ -82,21 +95,23 @@ class Finder:
         self.runs = runs
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[(runs & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
+        # (words, item, first word) of each piece
+        self.pieces = sorted(((w[a:b], i, a) for i, (_, w) in enumerate(self.items) for a, b in pieces(len(w))), key=lambda x: len(x[0]))
         self.classes = []
         k = 0
         r = np.random.default_rng(SEED)
-        while k < len(self.items):
-            least = len(self.items[k][1])
+        while k < len(self.pieces):
+            least = len(self.pieces[k][0])
             n = k
-            while n < len(self.items) and len(self.items[n][1]) <= least * SPREAD:
+            while n < len(self.pieces) and len(self.pieces[n][0]) <= least * SPREAD:
                 n += 1
-            most = len(self.items[n - 1][1])
+            most = len(self.pieces[n - 1][0])
             steps = max(3, int(1.6 * least))
             seeds = r.integers(1, 1 << 63, (TABLES, steps), dtype=np.uint64)
             places = np.stack([r.choice(steps, SAMPLES, replace=False) for _ in range(TABLES)])
-            need = min(runs_kept(len(w)) for _, w in self.items[k:n])
+            need = min(runs_kept(len(w)) for w, *_ in self.pieces[k:n])
             padded = np.full((n - k, most + steps + 1), END)
-            for j, (_, w) in enumerate(self.items[k:n]):
+            for j, (w, *_) in enumerate(self.pieces[k:n]):
                 padded[j, : len(w)] = w
             starts = np.arange(n - k, dtype=np.int64) * padded.shape[1]
             tables = []
@@ -153,11 +168,14 @@ class Finder:
                 low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
                 for s, a, b in zip(starts[low < high], low[low < high], high[low < high], strict=True):
                     for k in owners[a:b]:
-                        candidates.setdefault(int(k), []).append(int(s))
+                        _, item, first = self.pieces[k]
+                        candidates.setdefault(item, []).append(int(s) - first)
         out = []
         for k, found in candidates.items():
             item_id, item = self.items[k]
             length, most = len(item), bound(len(item))
+            # a hit is off by the edits in its piece, and by those before it
+            slack = most if length <= PIECE else most + bound(PIECE)
             found = sorted(set(found))
             best = None
             groups = [[found[0], found[0]]]
@@ -167,7 +185,7 @@ class Finder:
                 else:
                     groups.append([s, s])
             for first, last in groups:
-                low, high = max(0, first - most), min(n, last + length + 2 * most)
+                low, high = max(0, first - slack), min(n, last + length + most + slack)
                 # a passage within the bound keeps so many of the item's words
                 if np.isin(words[low:high], item).sum() < length - most:
                     continue

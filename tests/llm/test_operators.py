@@ -111,6 +111,33 @@ def test_decontamination_recall_and_alignment(spark):
     assert decontam.align(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 4, 9])) == (1, 1, 4)
 
 
+@pytest.mark.parametrize("length", [51, 100, 200, 300])
+@pytest.mark.parametrize("change", ["delete", "insert"])
+def test_decontamination_finds_long_items_at_the_bound(length, change):
+    r = random.Random(length)
+    vocab = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(r.choices(vocab, k=length))) for k in range(30)]
+    finder = decontam.Finder(items)
+    for k, t in items:
+        w = t.split()
+        for p in sorted(r.sample(range(length), decontam.bound(length)), reverse=True):
+            if change == "delete":
+                del w[p]
+            else:
+                w.insert(p, r.choice(vocab))
+        before, after = r.choices(vocab, k=r.randrange(200)), r.choices(vocab, k=100)
+        found = finder.matches(" ".join(before + w + after))
+        assert [x[0] for x in found] == [k] and found[0][1] <= decontam.bound(length)
+        assert finder.matches(" ".join(before + w[: length // 2] + after)) == []
+
+
+def test_decontamination_pieces_cover_items_and_share_the_bound():
+    for length in range(1, 600):
+        own = decontam.pieces(length)
+        assert [a for a, _ in own[1:]] == [b for _, b in own[:-1]] and (own[0][0], own[-1][1]) == (0, length)
+        assert max(b - a for a, b in own) <= decontam.PIECE and sum(decontam.bound(b - a) + 1 for a, b in own) > decontam.bound(length)
+
+
 def brute_lines(rows):
     lines = sorted((d, k, w) for d, t in rows if t and d is not None for k, x in enumerate(t.split("\n")) if len(w := x.split()) >= linedup.MIN_WORDS)
     out = {}
