@@ -4,8 +4,9 @@ Inputs of a word: its own evidence (word input) and the evidence of its characte
 marks at the word's ends (character input). Evidence is the log-odds of occurring in a toxic
 document, learnt from the labelled sample, zero where not significant. Two networks of gated units
 read each window of 32 words in both directions, attention weighs their states, and a logistic
-unit scores the window. All windows of the whole text are scored, each overlapping the next by
-half; a last logistic unit turns the two highest window scores, their mean and the number of
+unit scores the window. A token of more than ``LONG`` characters (text without spaces) stands in the
+windows as pieces of so many that overlap by ``OVERLAP``; no n-gram is lost, and cuts have no marks.
+All windows of the whole text are scored, each overlapping the next by half; a last logistic unit turns the two highest window scores, their mean and the number of
 windows into the document's score.
 
 Training takes a bounded sample (``POSITIVE`` and ``NEGATIVE`` labelled documents, least hashes of
@@ -34,6 +35,7 @@ POSITIVE, NEGATIVE = 1000, 2000
 WINDOW, STEP = 32, 16
 HIDDEN = 8
 GRAMS = (3, 4, 5)
+LONG, OVERLAP = 64, 16
 LEAST_DOCS, LEAST_Z = 3, 2.5
 FEATURES = 7
 CACHE = 60_000
@@ -41,14 +43,41 @@ BATCH = 2048
 THRESHOLD = 0.7
 SEED = 7
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+INNER = re.compile(r"[^\W_]")
+#: Stands where a long token is cut; white space, so that no token has it.
+CUT = "\x1f"
+
+
+def pieces(token: str) -> list[str]:
+    """The token, or its overlapping pieces if it is a long one without what ``plain`` takes off."""
+    if len(token) <= LONG:
+        return [token]
+    first, last = INNER.search(token), INNER.search(token[::-1])
+    if first is None:
+        return [token[:1]]
+    core = token[first.start() : len(token) - last.start()]
+    starts = range(0, max(1, len(core) - OVERLAP), LONG - OVERLAP)
+    return [CUT * (k > 0) + core[k : k + LONG] + CUT * (k + LONG < len(core)) for k in starts]
+
+
+def tokens(text: str | None) -> list[str]:
+    words = text.split() if text else []
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in pieces(w)]
 
 
 def plain(word: str) -> str:
-    return EDGE.sub("", word.lower())[:64]
+    return word.lower() if CUT in word else EDGE.sub("", word.lower())
+
+
+def marks(word: str) -> str:
+    """The word with marks at its ends, but not where it is cut."""
+    return f"^{word}$".replace("^" + CUT, "").replace(CUT + "$", "")
 
 
 def grams(word: str) -> set[str]:
-    marked = f"^{word}$"
+    marked = marks(word)
     return {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
 
 
@@ -102,7 +131,7 @@ class Inputs:
             self.finder.make_automaton()
         if len(self.known) > CACHE:
             self.known.clear()
-        hits = [s for _, s in self.finder.iter(f"^{word}$")] if word and self.parts else []
+        hits = [s for _, s in self.finder.iter(marks(word))] if word and self.parts else []
         own = self.words.get(word, 0.0)
         return (own / 4, max(hits, default=0.0) / 4, min(hits, default=0.0) / 4, sum(hits) / 16, float(own > 2), float(len(word) > 12), 1.0)
 
@@ -259,7 +288,7 @@ class Scorer:
         rows, counts = [], []
         offsets = np.arange(WINDOW)
         for text in texts:
-            words = text.split() if text else []
+            words = tokens(text)
             fresh = [w for w in dict.fromkeys(words) if w not in self.ids]
             if fresh:
                 self.ids.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
@@ -287,7 +316,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     if len(set(toxic)) < 2:
         return Model(Inputs({}, {}), Network(), np.zeros(5), constant=float(np.mean(toxic)) if toxic else 0.0)
     r = np.random.default_rng(SEED)
-    words = [t.split() for t in texts]
+    words = [tokens(t) for t in texts]
     sets = [{p for w in set(ws) if (p := plain(w))} for ws in words]
     half = r.permutation(len(texts)) % 2
     own = []

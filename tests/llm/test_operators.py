@@ -68,6 +68,32 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.train([], []).constant == 0.0
 
 
+def test_toxicity_scores_the_whole_of_long_tokens():
+    r = random.Random(8)
+    texts, toxic = sentences(4, 600, 20, 80), [int(i % 5 == 0) for i in range(600)]
+    for i in range(0, 600, 5):
+        w = texts[i].split()
+        for _ in range(3):
+            w.insert(r.randrange(len(w)), r.choice(["stupid", "moron", "scum"]))
+        texts[i] = " ".join(w)
+    glued = ["_".join(t.split()) for t in texts]
+    scorer = toxicity.Scorer(toxicity.train(texts + glued, toxic + toxic))
+    clean = "_".join(sentences(5, 1, 60, 61)[0].split())
+    assert len(clean) > 200
+    low, behind, middle = scorer.scores([clean, clean + "_stupid_moron_scum_stupid", clean + "_stupid_moron_scum_stupid_" + clean])
+    assert low < toxicity.THRESHOLD <= min(behind, middle)
+
+
+def test_toxicity_pieces_keep_every_gram_and_mark_no_cut():
+    for n in (1, 63, 64, 65, 112, 113, 500):
+        word = "".join(random.Random(n).choices("abcdefghij", k=n))
+        got = toxicity.tokens(f"x ..{word}!! y")[1:-1]
+        assert max(len(p.strip(toxicity.CUT)) for p in got) <= toxicity.LONG
+        marked = f"^{word}$"
+        assert set().union(*(toxicity.grams(toxicity.plain(p)) for p in got)) == {marked[k : k + m] for m in toxicity.GRAMS for k in range(len(marked) - m + 1)}
+    assert toxicity.tokens(None) == [] and toxicity.plain(toxicity.tokens("-" * 500)[0]) == ""
+
+
 def test_network_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
