@@ -213,6 +213,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info.components(g.nodes, edges)
 
 
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all edges; ``components`` is bound to the edges that its SQL selects."""
+    g = mapped_graph(spark, sf_dir)
+    return info.components(g.nodes, g.edges)
+
+
 def hexbins(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = by_sample(spark, sf_dir)
     return info.hexbins(x.coverage("node").join(x.graph.nodes.select(F.col("node_id").alias("item"), "len"), "item"))
@@ -264,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "info_path": lambda s, d: info.path_info(by_sample(s, d).path_lengths()),
     "info_group": group_info,
     "components": components,
+    "components_all": components_all,
     "gfa_parse_roundtrip": gfa_parse,
     "pansn_parse": pansn,
     "bed_merge": bed_merge,

@@ -224,6 +224,42 @@ def test_streamed_presence(spark, tmp_path):
     assert {r["item"]: r["cov"] for r in spark.table("cov").collect()} == {1: 1, 2: 2}
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def small_paths(spark):
+    """Sample and parts of each order of the smallest tables, in the order of its steps."""
+    from pathtally.plans import mapped
+
+    nations = {r.c_custkey: r.c_nationkey for r in mapped.load(spark, SMALL, "customer").collect()}
+    sample = {r.o_orderkey: nations[r.o_custkey] for r in mapped.load(spark, SMALL, "orders").collect() if r.o_custkey in nations}
+    sizes = {r.p_partkey: r.p_size for r in mapped.load(spark, SMALL, "part").collect()}
+    steps = {}
+    for r in sorted(mapped.load(spark, SMALL, "lineitem").select("l_orderkey", *mapped.STEP_ORDER).collect()):
+        if r.l_orderkey in sample and r.l_partkey in sizes:
+            steps.setdefault(r.l_orderkey, []).append(r.l_partkey)
+    return sample, sizes, steps
+
+
+def test_components_of_all_edges_against_brute_force(spark):
+    from pathtally.plans import mapped
+
+    _, sizes, steps = small_paths(spark)
+    root = {n: n for n in sizes}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for path in steps.values():
+        for a, b in zip(path, path[1:]):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = {r.node_id: r.component for r in mapped.QUERIES["components_all"](spark, SMALL).collect()}
+    assert got == {n: top(n) for n in sizes}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
