@@ -203,6 +203,12 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard(x.presence("bp"), x.items("bp"), x.n_groups).withColumn("value", F.round("value", 6))
 
 
+def jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all orders; ``similarity`` is bound to the orders that its SQL selects."""
+    x = by_sample(spark, sf_dir)
+    return similarity.jaccard(x.presence("bp"), x.items("bp"), x.n_groups).withColumn("value", F.round("value", 6))
+
+
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_sample(spark, sf_dir).group_index
 
@@ -236,7 +242,7 @@ def heaps_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
-    x = by_sample(spark, sf_dir, urgent=True)
+    x = by_sample(spark, sf_dir)
     n = x.n_groups
     m = np.zeros((n, n))
     for r in similarity.jaccard(x.presence("bp"), x.items("bp"), n).collect():  # groups squared
@@ -264,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_total": lambda s, d: by_sample(s, d).table("node", total=True),
     "table_group": lambda s, d: by_sample(s, d).table("bp"),
     "similarity": jaccard,
+    "similarity_all": jaccard_all,
     "node_distribution": hexbins,
     "info_graph": lambda s, d: (lambda g: info.graph_info(g.nodes, g.edges))(mapped_graph(s, d, True)),
     "info_node": lambda s, d: info.node_info(mapped_graph(s, d).nodes),

@@ -260,6 +260,25 @@ def test_components_of_all_edges_against_brute_force(spark):
     assert got == {n: top(n) for n in sizes}
 
 
+def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
+    import numpy as np
+
+    from pathtally.plans import mapped
+
+    sample, sizes, steps = small_paths(spark)
+    parts = {}
+    for path in sorted(steps):  # groups in the order of their first paths
+        parts.setdefault(sample[path], set()).update(steps[path])
+    sets, weigh = list(parts.values()), lambda items: sum(sizes[n] for n in items)
+    want = np.array([[weigh(a & b) / weigh(a | b) for b in sets] for a in sets])
+    got = np.full(want.shape, -1.0)
+    for r in mapped.QUERIES["similarity_all"](spark, SMALL).collect():
+        got[r.x, r.y] = r.value
+    assert np.abs(got - want).max() < 1e-6
+    order = [r.group_idx for r in mapped.QUERIES["cluster_order"](spark, SMALL).orderBy("place").collect()]
+    assert order == similarity.leaf_order(similarity.linkage(want), len(sets))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
