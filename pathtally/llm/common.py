@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches stay small, so that a batch of very long texts fits a Python worker.
-ARROW_ROWS = 1000
+#: Arrow batches stay small in rows and bytes, so that a batch of very long texts fits a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, "16m"
 #: Words whose hashes a Python worker keeps; beyond it the table starts anew.
 CACHE_WORDS = 200_000
 
@@ -21,11 +21,13 @@ CACHE_WORDS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``. Where the session does not name one (tests on one
-    machine), a temporary folder is set, which is right only if all executors are local.
+    It lies in ``spark.checkpoint.dir``. Where the session does not name one, a temporary folder is
+    set if all executors run in the driver's machine (a local master); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pathtally-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pathtally-{uuid.uuid4().hex}"
@@ -39,7 +41,20 @@ def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches. Plans are run later, so the setting stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Helper column names like ``names`` that no column has, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

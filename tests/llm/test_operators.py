@@ -341,6 +341,55 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_nearest(vectors, q, k=5):
+    """Ids of the k nearest of the vector under id q, by the operator's measure."""
+    x = np.array([v for _, v in vectors], float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    own = next(n for n, (i, _) in enumerate(vectors) if i == q)
+    s = (x * x[own]).sum(1) / (np.sqrt((x[own] * x[own]).sum()) * np.sqrt((x * x).sum(1)))
+    best = {}
+    for (i, _), score in zip(vectors, s, strict=True):
+        if i != q:
+            best[i] = max(score, best.get(i, -9))
+    return sorted(((score, i) for i, score in best.items()), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def found_nearest(spark, rows, kind="float", **more):
+    out = {}
+    for x in ann.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, query_id int"), **more).orderBy("query_id", "rank").collect():
+        out.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    return out
+
+
+def test_nearest_keeps_ties_and_huge_or_tiny_components(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=8)
+    rows = [(i, [float(a) for a in base * r.uniform(0.1, 9)], 0) for i in range(400)]
+    got = found_nearest(spark, rows, "double")
+    assert sorted(got) == list(range(0, 400, 50)) and all(got[q] == brute_nearest([x[:2] for x in rows], q) for q in got)
+    rows = [(0, [1e200, 1e200], 0), (1, [1e200, 0.0], 0), (2, [1.0, 1.0], 0), (3, [5e-320, 0.0], 0)]
+    got = found_nearest(spark, rows, "double")[0]
+    assert [i for _, i in got] == [2, 1, 3] and got[0][0] == pytest.approx(1) and got[1][0] == pytest.approx(0.5**0.5) == got[2][0]
+
+
+def test_nearest_by_deep_and_salted_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FULL", 30)
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(60, 12)) * 3
+    v = (centres[r.integers(0, 60, 3000)] + r.normal(size=(3000, 12))).astype(np.float32)
+    v[500:1500] = v[0]  # a third of all rows are equal
+    rows = [(i, [float(a) for a in x], i) for i, x in enumerate(v)] + [(100, [float(a) for a in v[7]], 0)]
+    got = found_nearest(spark, rows, leaf=20, sample=200)
+    plain = [x[:2] for x in rows]
+    assert sorted(got) == list(range(0, 3000, 50))
+    want = {q: brute_nearest(plain, q) for q in got if q != 100}  # id 100 has two vectors
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+    assert all([i for _, i in got[q]] == [0, 500, 501, 502, 503] for q in range(550, 1500, 50)) and [i for _, i in got[500]] == [0, 501, 502, 503, 504]
+    assert len(got[100]) == 5 and 100 not in [i for _, i in got[100]]
+    forest = ann.Forest(ann.unit(ann.matrix(__import__("pyarrow").array(v.tolist()), 12))[:200], 3000, 4, 20)
+    assert forest.deep > 0 and sorted(forest.search(v[0], 10**9)) == [(t, n) for t in range(4) for n in range(1 << forest.depth)]
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
