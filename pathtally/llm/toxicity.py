@@ -1,18 +1,25 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word: its own evidence (word input) and the evidence of its character n-grams, with
-marks at the word's ends (character input). Evidence is the log-odds of occurring in a toxic
-document, learnt from the labelled sample, zero where not significant. Two networks of gated units
-read each window of 32 words in both directions, attention weighs their states, and a logistic
-unit scores the window. A token of more than ``LONG`` characters (text without spaces) stands in the
-windows as pieces of so many that overlap by ``OVERLAP``; no n-gram is lost, and cuts have no marks.
-All windows of the whole text are scored, each overlapping the next by half; a last logistic unit turns the two highest window scores, their mean and the number of
-windows into the document's score.
+Two readers of the same kind, gated units in both directions whose states attention weighs:
+
+* The character reader reads a word's characters, as learnt vectors, with marks at the word's ends.
+  It is trained on the distinct words of the sample to tell those that stand in toxic documents
+  beyond chance; its pooled state is the character input of the word.
+* The window reader reads windows of 32 words, each a learnt vector of the word (word input; zero
+  for words that few documents of the sample have) beside the character input. A logistic unit
+  scores the window.
+
+All windows of the whole text are scored, each overlapping the next by half. A last logistic unit
+turns the two highest window scores, their mean and the number of windows into the document's score.
+A token of more than ``LONG`` characters (text without spaces) stands in the windows as pieces of so
+many that overlap by ``OVERLAP``; cuts have no marks.
 
 Training takes a bounded sample (``POSITIVE`` and ``NEGATIVE`` labelled documents, least hashes of
-the ids first), whole texts; the evidence that the network is trained on comes from the half of
-the sample to which the document does not belong. Labels, ids, languages and sources are never
-inputs. Without labels of both kinds every score is the share of toxic labels (0 without any).
+the ids first), whole texts. Which windows of a toxic document are toxic is not known: all are scored
+before each round, and the highest ones train as toxic; of other documents all windows train, dealt
+over the rounds. A quarter of the sample trains the last unit only, so that it sees scores of
+documents that the readers have not learnt. Labels, ids, languages and sources are never inputs.
+Without labels of both kinds every score is the share of toxic labels (0 without any).
 
 Null or empty texts count as one empty window. Null ids: scored, not held out. Labels that are
 null are left out; if an id has several labels the highest counts. Other columns are not read.
@@ -24,7 +31,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,11 +39,15 @@ from pyspark.sql import functions as F
 
 POSITIVE, NEGATIVE = 1000, 2000
 WINDOW, STEP = 32, 16
-HIDDEN = 8
-GRAMS = (3, 4, 5)
-LONG, OVERLAP = 64, 16
-LEAST_DOCS, LEAST_Z = 3, 2.5
-FEATURES = 7
+#: Buckets of characters, sizes of the vectors of characters and words, hidden units of the readers.
+CHARS, LETTER, WORD = 1024, 8, 8
+HIDDEN_CHARS, HIDDEN = 8, 8
+LONG, OVERLAP = 24, 8
+#: Documents of the sample that a word with a vector of its own is in.
+LEAST_DOCS = 3
+#: Standard errors beyond which a word's odds are certain.
+LEAST_Z = 2.5
+CHAR_ROUNDS, ROUNDS = 14, 8
 CACHE = 60_000
 BATCH = 2048
 THRESHOLD = 0.7
@@ -68,72 +78,14 @@ def tokens(text: str | None) -> list[str]:
 
 
 def plain(word: str) -> str:
+    """A token in lower case without the marks around it; at most ``LONG`` characters and cuts go in."""
     return word.lower() if CUT in word else EDGE.sub("", word.lower())
 
 
-def marks(word: str) -> str:
-    """The word with marks at its ends, but not where it is cut."""
-    return f"^{word}$".replace("^" + CUT, "").replace(CUT + "$", "")
-
-
-def grams(word: str) -> set[str]:
-    marked = marks(word)
-    return {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
-
-
-def evidence(texts: list[set[str]], toxic: list[int], of=None) -> dict[str, float]:
-    """Log-odds of each feature that tells toxic documents from others. ``texts``: sets of words."""
-    seen, bad = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        features = set().union(*map(of, words)) if of and words else words
-        seen.update(features)
-        if y:
-            bad.update(features)
-    a_all, n_all = sum(toxic), len(toxic)
-    out = {}
-    for f, n in seen.items():
-        if n < LEAST_DOCS:
-            continue
-        a = bad[f]
-        b = n - a
-        s = np.log((a + 0.5) / (a_all + 1)) - np.log((b + 0.5) / (n_all - a_all + 1))
-        if abs(s) >= LEAST_Z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)):
-            out[f] = float(s)
-    return out
-
-
-class Inputs:
-    """Words to input vectors, by tables of evidence."""
-
-    def __init__(self, words: dict[str, float], parts: dict[str, float]):
-        self.words, self.parts = words, parts
-        self.known: dict[str, tuple[float, ...]] = {}
-        self.finder = None
-
-    def __getstate__(self):
-        return {"words": self.words, "parts": self.parts}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    def vector(self, raw: str) -> tuple[float, ...]:
-        word = plain(raw)
-        out = self.known.get(word)
-        if out is None:
-            out = self.known[word] = self._vector(word)
-        return out
-
-    def _vector(self, word: str) -> tuple[float, ...]:
-        if self.finder is None:  # all n-grams at once
-            self.finder = ahocorasick.Automaton()
-            for gram, s in self.parts.items():
-                self.finder.add_word(gram, s)
-            self.finder.make_automaton()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        hits = [s for _, s in self.finder.iter(marks(word))] if word and self.parts else []
-        own = self.words.get(word, 0.0)
-        return (own / 4, max(hits, default=0.0) / 4, min(hits, default=0.0) / 4, sum(hits) / 16, float(own > 2), float(len(word) > 12), 1.0)
+def letters(word: str) -> list[int]:
+    """Buckets of a plain word's characters: 1 and 2 for its ends, none where it is cut."""
+    inner = [3 + ord(c) % (CHARS - 3) for c in word.strip(CUT)]
+    return [1] * (not word.startswith(CUT)) + inner + [2] * (not word.endswith(CUT))
 
 
 def windows(n: int) -> list[int]:
@@ -141,116 +93,169 @@ def windows(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
 
 
+def framed(ids: np.ndarray) -> np.ndarray:
+    """(windows, WINDOW) of a text's rows, 0 where there is no word."""
+    ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
+    return ids[np.array(windows(len(ids)))[:, None] + np.arange(WINDOW)]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return 1 / (1 + np.exp(-x))
 
 
-class Network:
-    """Gated recurrent units in both directions, attention, logistic output."""
+class Reader:
+    """Gated recurrent units in both directions and attention over their states."""
 
-    def __init__(self, seed: int = SEED):
-        r = np.random.default_rng(seed)
-        self.p = {}
+    def __init__(self, features: int, hidden: int, r: np.random.Generator):
+        self.hidden, self.p = hidden, {}
         for d in "fb":
-            self.p[f"W{d}"] = (r.normal(size=(FEATURES, 3 * HIDDEN)) * 0.4).astype(np.float32)
-            self.p[f"U{d}"] = (r.normal(size=(HIDDEN, 3 * HIDDEN)) * 0.3).astype(np.float32)
-        self.p["v"] = (r.normal(size=2 * HIDDEN) * 0.3).astype(np.float32)
-        self.p["w"] = (r.normal(size=2 * HIDDEN) * 0.3).astype(np.float32)
-        self.p["c"] = np.zeros(1, np.float32)
+            self.p[f"W{d}"] = (r.normal(size=(features, 3 * hidden)) * features**-0.5).astype(np.float32)
+            self.p[f"U{d}"] = (r.normal(size=(hidden, 3 * hidden)) * hidden**-0.5).astype(np.float32)
+        self.p["v"] = (r.normal(size=2 * hidden) * 0.3).astype(np.float32)
+
+    def pad_row(self) -> np.ndarray:
+        """Projection of nothing: the update gate keeps the state."""
+        return np.concatenate([np.full(self.hidden, 30), np.zeros(2 * self.hidden)]).astype(np.float32)
 
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"W{d}"] for d in "fb"}
 
-    @staticmethod
-    def pad_row() -> np.ndarray:
-        """Projection of no word: the update gate keeps the state."""
-        return np.concatenate([np.full(HIDDEN, 30), np.zeros(2 * HIDDEN)]).astype(np.float32)
-
-    def states(self, rows, d: str, keep: bool = False):
-        """(windows, words, HIDDEN) of one direction. ``rows(t)``: projections of the t-th words."""
-        U = self.p[f"U{d}"]
-        order = range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1)
-        h = None
-        out, kept = [None] * WINDOW, {}
-        for t in order:
+    def states(self, rows, steps: int, d: str, keep: bool = False):
+        """(n, steps, hidden) of one direction. ``rows(t)``: projections of the t-th inputs."""
+        U, H = self.p[f"U{d}"], self.hidden
+        h, out, kept = None, [None] * steps, {}
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             g = rows(t)
             if h is None:
-                h = np.zeros((len(g), HIDDEN), np.float32)
+                h = np.zeros((len(g), H), g.dtype)
             a = h @ U
-            zr = sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+            zr = sigmoid(g[:, : 2 * H] + a[:, : 2 * H])
+            z, r = zr[:, :H], zr[:, H:]
+            c = np.tanh(g[:, 2 * H :] + r * a[:, 2 * H :])
             if keep:
-                kept[t] = h, z, r, c, a[:, 2 * HIDDEN :]
+                kept[t] = h, z, r, c, a[:, 2 * H :]
             h = c + z * (h - c)
             out[t] = h
         return np.stack(out, 1), kept
 
-    def pooled(self, states: np.ndarray, mask: np.ndarray):
-        a = states @ self.p["v"] + mask
+    def pooled(self, states: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = states @ self.p["v"] + np.where(real, np.float32(0), np.float32(-30))
         a = np.exp(a - a.max(1, keepdims=True))
         a /= a.sum(1, keepdims=True)
         return a, (a[:, :, None] * states).sum(1)
 
-    def logits(self, tables: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """ids: (windows, WINDOW) rows of the projection tables, 0 where there is no word."""
-        both = np.concatenate([self.states(lambda t, d=d: tables[d][ids[:, t]], d)[0] for d in "fb"], 2)
-        mask = np.where(ids == 0, np.float32(-30), np.float32(0))
-        return self.pooled(both, mask)[1] @ self.p["w"] + self.p["c"]
+    def read(self, tables: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """(n, 2 * hidden). ids: (n, steps) rows of the projection tables, 0 for none."""
+        both = np.concatenate([self.states(lambda t, d=d: tables[d][ids[:, t]], ids.shape[1], d)[0] for d in "fb"], 2)
+        return self.pooled(both, ids > 0)[1]
 
-    def gradients(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Loss and gradients by back-propagation through time. x: (windows, WINDOW, FEATURES)."""
-        n, H = len(x), HIDDEN
-        pad = self.pad_row()
+    def forward(self, x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """As ``read`` from inputs (n, steps, features), with what ``backward`` needs."""
+        pad, steps = self.pad_row(), x.shape[1]
         proj = {d: np.where(real[:, :, None], x @ self.p[f"W{d}"], pad) for d in "fb"}
-        runs = {d: self.states(lambda t, d=d: proj[d][:, t], d, keep=True) for d in "fb"}
+        runs = {d: self.states(lambda t, d=d: proj[d][:, t], steps, d, keep=True) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], 2)
-        mask = np.where(real, np.float32(0), np.float32(-30))
-        a, pooled = self.pooled(both, mask)
-        out = sigmoid(pooled @ self.p["w"] + self.p["c"])
-        loss = -np.mean(weight * (y * np.log(out + 1e-7) + (1 - y) * np.log(1 - out + 1e-7)))
-        do = (weight * (out - y) / n).astype(np.float32)
-        g = {"w": pooled.T @ do, "c": np.array([do.sum()], np.float32)}
-        dp = do[:, None] * self.p["w"]
+        a, pooled = self.pooled(both, real)
+        return pooled, (x, real, runs, both, a)
+
+    def backward(self, kept: tuple, dp: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the parameters and of the inputs, by back-propagation through time."""
+        x, real, runs, both, a = kept
+        H, steps = self.hidden, x.shape[1]
         da = (both * dp[:, None, :]).sum(2)
         ds = a * (da - (a * da).sum(1, keepdims=True))
-        g["v"] = (ds[:, :, None] * both).sum((0, 1))
+        g = {"v": (ds[:, :, None] * both).sum((0, 1))}
         dboth = a[:, :, None] * dp[:, None, :] + ds[:, :, None] * self.p["v"]
+        dx = np.zeros_like(x)
         for i, d in enumerate("fb"):
-            U, kept = self.p[f"U{d}"], runs[d][1]
-            dW, dU = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(U)
-            dh = np.zeros((n, H), np.float32)
-            for t in range(WINDOW - 1, -1, -1) if d == "f" else range(WINDOW):
+            W, U, own = self.p[f"W{d}"], self.p[f"U{d}"], runs[d][1]
+            dW, dU, dh = np.zeros_like(W), np.zeros_like(U), np.zeros((len(x), H), x.dtype)
+            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
                 dh = dh + dboth[:, t, i * H : (i + 1) * H]
-                h, z, r, c, ac = kept[t]
+                h, z, r, c, ac = own[t]
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * ac * r * (1 - r)
-                dg = np.concatenate([dz, dr, dc], 1)
+                dg = np.concatenate([dz, dr, dc], 1) * real[:, t, None]
                 dag = np.concatenate([dz, dr, dc * r], 1)
-                dW += x[:, t].T @ (dg * real[:, t, None])
+                dW += x[:, t].T @ dg
                 dU += h.T @ dag
+                dx[:, t] += dg @ W.T
                 dh = dh * z + dag @ U.T
             g[f"W{d}"], g[f"U{d}"] = dW, dU
-        return float(loss), g
+        return g, dx
+
+
+class Unit:
+    """A reader with a table of vectors before it and a logistic unit behind it."""
+
+    def __init__(self, rows: int, width: int, more: int, hidden: int, r: np.random.Generator):
+        self.reader = Reader(width + more, hidden, r)
+        self.table = (r.normal(size=(rows, width)) * 0.3).astype(np.float32)
+        self.last = {"w": (r.normal(size=2 * hidden) * 0.3).astype(np.float32), "c": np.zeros(1, np.float32)}
 
+    def params(self) -> dict[str, np.ndarray]:
+        return {**self.reader.p, **self.last, "table": self.table}
 
-def adam(params: dict, epochs, rate: float) -> None:
-    """Adam over batches; ``epochs`` yields gradients."""
+    def gradients(self, ids: np.ndarray, more: np.ndarray | None, real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients. ids: (n, steps) rows of the table; more: further inputs (n, steps, features)."""
+        x = self.table[ids] if more is None else np.concatenate([self.table[ids], more], 2)
+        pooled, kept = self.reader.forward(x, real)
+        out = sigmoid(pooled @ self.last["w"] + self.last["c"])
+        loss = -np.mean(weight * (y * np.log(out + 1e-7) + (1 - y) * np.log(1 - out + 1e-7)))
+        do = (weight * (out - y) / len(y)).astype(x.dtype)
+        g, dx = self.reader.backward(kept, do[:, None] * self.last["w"])
+        width = self.table.shape[1]
+        flat = ids.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        firsts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        dt = np.zeros_like(self.table)
+        dt[flat[order][firsts]] = np.add.reduceat(dx.reshape(len(flat), -1)[order, :width], firsts)
+        return float(loss), {**g, "w": pooled.T @ do, "c": np.array([do.sum()], x.dtype), "table": dt}
+
+    def logits(self, pooled: np.ndarray) -> np.ndarray:
+        return pooled @ self.last["w"] + self.last["c"]
+
+
+def adam(params: dict, epochs, rate: float, decay: float = 0.0) -> None:
+    """Adam over batches; ``epochs`` yields gradients. ``decay`` shrinks the tables of vectors."""
     m, v = {k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()}
     for step, g in enumerate(epochs, 1):
         for k in params:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
             params[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(params[k].dtype)
+            if k == "table" and decay:
+                params[k] *= params[k].dtype.type(1 - decay)
 
 
 class Model:
     """All that scoring needs; small enough to travel with each task."""
 
-    def __init__(self, inputs: Inputs, network: Network, last: np.ndarray, constant: float | None = None):
-        self.inputs, self.network, self.last, self.constant = inputs, network, last, constant
+    def __init__(self, chars: Unit | None, words: Unit | None, names: dict[str, int], last: np.ndarray, constant: float | None = None):
+        self.chars, self.words, self.names, self.last, self.constant = chars, words, names, last, constant
+
+    def spelt(self, words: list[str]) -> np.ndarray:
+        """Pooled states of the character reader for plain words."""
+        reader = self.chars.reader
+        tables = {d: np.concatenate([reader.pad_row()[None], t]) for d, t in reader.project(self.chars.table).items()}
+        out = np.zeros((len(words), 2 * reader.hidden), np.float32)
+        spelling = [letters(w) for w in words]
+        order = sorted(range(len(words)), key=lambda k: len(spelling[k]))
+        for k in range(0, len(order), BATCH):
+            own = order[k : k + BATCH]
+            ids = np.zeros((len(own), max(1, len(spelling[own[-1]]))), np.int32)
+            for row, w in zip(ids, own, strict=True):
+                row[: len(spelling[w])] = spelling[w]
+            # row 0 of the tables is no character
+            out[own] = reader.read(tables, np.where(ids > 0, ids + 1, 0))
+        return out
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """Input vectors of plain words: word vector and character input."""
+        own = self.words.table[np.fromiter((self.names.get(w, 0) for w in words), np.int32, len(words))]
+        return np.concatenate([own, self.spelt(words)], 1)
 
     @staticmethod
     def summary(logits: np.ndarray) -> list[float]:
@@ -264,18 +269,20 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
+        if model.constant is None:
+            self.reset()
 
     def reset(self) -> None:
+        reader = self.model.words.reader
         self.ids: dict[str, int] = {}
-        self.tables = {d: np.tile(Network.pad_row(), (1, 1)) for d in "fb"}
+        self.tables = {d: np.tile(reader.pad_row(), (1, 1)) for d in "fb"}
         self.used = 1
 
     def add(self, words: list[str]) -> None:
-        x = np.array([self.model.inputs.vector(w) for w in words], np.float32)
-        for d, rows in self.model.network.project(x).items():
+        x = self.model.inputs([plain(w) for w in words])
+        for d, rows in self.model.words.reader.project(x).items():
             if self.used + len(rows) > len(self.tables[d]):
-                grown = np.empty((2 * (self.used + len(rows)), 3 * HIDDEN), np.float32)
+                grown = np.empty((2 * (self.used + len(rows)), rows.shape[1]), np.float32)
                 grown[: self.used] = self.tables[d][: self.used]
                 self.tables[d] = grown
             self.tables[d][self.used : self.used + len(rows)] = rows
@@ -285,24 +292,16 @@ class Scorer:
         """Per text, the scores of all its windows."""
         if len(self.ids) > CACHE:
             self.reset()
-        rows, counts = [], []
-        offsets = np.arange(WINDOW)
-        for text in texts:
-            words = tokens(text)
-            fresh = [w for w in dict.fromkeys(words) if w not in self.ids]
-            if fresh:
-                self.ids.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
-                self.add(fresh)
-            ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-            if len(ids) < WINDOW:
-                ids = np.pad(ids, (0, WINDOW - len(ids)))
-            starts = np.array(windows(len(ids)))
-            rows.append(ids[starts[:, None] + offsets])
-            counts.append(len(starts))
+        split = [tokens(text) for text in texts]
+        fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.ids]
+        if fresh:
+            self.ids.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
+            self.add(fresh)
+        rows = [framed(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))) for words in split]
         ids = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int32)
-        tables = {d: t[: self.used] for d, t in self.tables.items()}
-        out = [self.model.network.logits(tables, ids[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
-        return np.split(np.concatenate(out), np.cumsum(counts)[:-1]) if out else []
+        tables, own = {d: t[: self.used] for d, t in self.tables.items()}, self.model.words
+        out = [own.logits(own.reader.read(tables, ids[k : k + BATCH])) for k in range(0, len(ids), BATCH)]
+        return np.split(np.concatenate(out), np.cumsum([len(x) for x in rows])[:-1]) if out else []
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.model.constant is not None:
@@ -311,59 +310,105 @@ class Scorer:
         return sigmoid(found @ self.model.last).tolist()
 
 
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels count the same."""
+    share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+    return np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+
+
+def spelling_lessons(unit: Unit, words: list[str], alarming: np.ndarray, r: np.random.Generator) -> Iterator[dict]:
+    """Gradients of the character reader over distinct words, batches of like lengths."""
+    weight = balanced(alarming)
+    spelling = [letters(w) for w in words]
+    by_length = np.array(sorted(range(len(words)), key=lambda k: len(spelling[k])))
+    batches = [by_length[k : k + 256] for k in range(0, len(by_length), 256)]
+    for _ in range(CHAR_ROUNDS):
+        for k in r.permutation(len(batches)):
+            own = batches[k]
+            ids = np.zeros((len(own), max(1, len(spelling[own[-1]]))), np.int32)
+            for row, w in zip(ids, own, strict=True):
+                row[: len(spelling[w])] = spelling[w]
+            yield unit.gradients(ids, None, ids > 0, alarming[own], weight[own])[1]
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fits evidence, network and the last unit. Deterministic."""
+    """Fits readers and the last unit. Deterministic."""
     if len(set(toxic)) < 2:
-        return Model(Inputs({}, {}), Network(), np.zeros(5), constant=float(np.mean(toxic)) if toxic else 0.0)
+        return Model(None, None, {}, np.zeros(5), constant=float(np.mean(toxic)) if toxic else 0.0)
     r = np.random.default_rng(SEED)
-    words = [tokens(t) for t in texts]
-    sets = [{p for w in set(ws) if (p := plain(w))} for ws in words]
-    half = r.permutation(len(texts)) % 2
-    own = []
-    for side in (0, 1):
-        rest = [k for k in range(len(texts)) if half[k] != side]
-        s, y = [sets[k] for k in rest], [toxic[k] for k in rest]
-        own.append(Inputs(evidence(s, y), evidence(s, y, grams)))
-    vectors: list[dict[str, tuple]] = [{}, {}]
-    xs, reals, ys, of = [], [], [], []
-    for k, ws in enumerate(words):
-        known = vectors[half[k]]
-        for w in set(ws) - known.keys():
-            known[w] = own[half[k]].vector(w)
-        x = np.array([known[w] for w in ws], np.float32).reshape(-1, FEATURES)
-        n = len(x)
-        if n < WINDOW:
-            x = np.concatenate([x, np.zeros((WINDOW - n, FEATURES), np.float32)])
-        starts = windows(len(x))
-        strength = np.array([x[s : s + WINDOW, 0].sum() + x[s : s + WINDOW, 1].sum() for s in starts])
-        best = np.argsort(-strength, kind="stable")
-        take = list(best[:2]) if toxic[k] else list(dict.fromkeys([*best[:2], *r.integers(0, len(starts), 1)]))
-        for b in take:
-            xs.append(x[starts[b] : starts[b] + WINDOW])
-            reals.append(np.arange(starts[b], starts[b] + WINDOW) < n)
-            ys.append(toxic[k])
-            of.append(k)
-    x, real, y = np.stack(xs), np.stack(reals), np.array(ys, np.float32)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    network = Network()
-
-    def steps() -> Iterator[dict]:
-        for _ in range(max(6, min(60, 60_000 // len(x)))):
+    place = r.permutation(len(texts))
+    learnt = [k for k in range(len(texts)) if place[k] % 4] if len(texts) >= 40 else list(range(len(texts)))
+    if len({toxic[k] for k in learnt}) < 2:
+        learnt = list(range(len(texts)))
+    rest = sorted(set(range(len(texts))) - set(learnt))
+    if len({toxic[k] for k in rest}) < 2:
+        rest = learnt
+
+    # distinct plain words and the documents that they are in
+    split = [[plain(w) for w in tokens(texts[k])] for k in learnt]
+    y = np.array([toxic[k] for k in learnt], np.float32)
+    seen, bad = Counter(), Counter()
+    for words, label in zip(split, y, strict=True):
+        seen.update(set(words))
+        if label:
+            bad.update(set(words))
+    types = sorted(seen)
+    known = [w for w in types if seen[w] >= LEAST_DOCS]
+    n, a = np.array([seen[w] for w in known], np.float32), np.array([bad[w] for w in known], np.float32)
+    odds = np.log((a + 0.5) / (y.sum() + 1)) - np.log((n - a + 0.5) / (len(y) - y.sum() + 1))
+    certain = np.abs(odds) >= LEAST_Z * np.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5))
+    chars = Unit(CHARS, LETTER, 0, HIDDEN_CHARS, r)
+    adam(chars.params(), spelling_lessons(chars, known, (certain & (odds > 0)).astype(np.float32), r), 0.02)
+
+    names = {w: k for k, w in enumerate(known, 1)}
+    words = Unit(1 + len(names), WORD, 2 * HIDDEN_CHARS, HIDDEN, r)
+    words.table[:] *= 0.1
+    words.table[0] = 0
+    # vectors start from the odds where these are certain; the lessons go on from there
+    words.table[1:, 0] = np.where(certain, odds / 4, 0)
+    model = Model(chars, words, names, np.zeros(5))
+    index = {w: k for k, w in enumerate(types, 1)}
+    spelt = np.concatenate([np.zeros((1, 2 * HIDDEN_CHARS), np.float32), model.spelt(types)])
+    named = np.array([0, *(names.get(w, 0) for w in types)], np.int32)
+    frames = [framed(np.fromiter((index[w] for w in ws), np.int32, len(ws))) for ws in split]
+    good = np.concatenate([f for f, label in zip(frames, y, strict=True) if not label])
+    toxics = [f for f, label in zip(frames, y, strict=True) if label]
+    alarm = chars.logits(spelt)
+
+    def scored(ids: np.ndarray, turn: int) -> np.ndarray:
+        """Scores of windows: by their most alarming words at first, then by the reader."""
+        if not turn:
+            return np.sort(np.where(ids > 0, alarm[ids], -8), 1)[:, -4:].sum(1)
+        x = np.concatenate([words.table[named], spelt], 1)
+        tables = {d: t for d, t in words.reader.project(x).items()}
+        for t in tables.values():
+            t[0] = words.reader.pad_row()
+        return np.concatenate([words.logits(words.reader.read(tables, ids[k : k + BATCH])) for k in range(0, len(ids), BATCH)])
+
+    def lessons() -> Iterator[dict]:
+        parts = np.array_split(r.permutation(len(good)), min(len(good), ROUNDS // 2))
+        for turn in range(ROUNDS):
+            some = []
+            for f, s in zip(toxics, np.split(scored(np.concatenate(toxics), turn), np.cumsum([len(f) for f in toxics])[:-1]), strict=True):
+                # the highest window, and others that look toxic by now
+                top = np.argsort(-s, kind="stable")
+                some.append(f[top[: max(1, int((s > 1).sum()) if turn > 1 else min(2, len(top)))]])
+            x = np.concatenate([*some, good[parts[turn % len(parts)]]])
+            label = np.zeros(len(x), np.float32)
+            label[: sum(map(len, some))] = 1
+            weight = balanced(label)
             order = r.permutation(len(x))
-            for k in range(0, len(order), 128):
-                b = order[k : k + 128]
-                yield network.gradients(x[b], real[b], y[b], weight[b])[1]
-
-    adam(network.p, steps(), 0.01)
-    # the last unit learns from all windows of each document, on the other half's evidence
-    summaries = np.zeros((len(texts), 5))
-    for side in (0, 1):
-        scorer = Scorer(Model(own[side], network, np.zeros(5)))
-        own_docs = [k for k in range(len(texts)) if half[k] == side]
-        for at in range(0, len(own_docs), 200):
-            part = own_docs[at : at + 200]
-            summaries[part] = [Model.summary(z) for z in scorer.logits([texts[k] for k in part])]
-    target = np.array(toxic, float)
+            for k in range(0, len(order), 256):
+                b = order[k : k + 256]
+                ids = x[b]
+                rows = np.where(r.random(ids.shape) < 0.2, 0, named[ids])  # words without their vectors, as new words are
+                yield words.gradients(rows, spelt[ids], ids > 0, label[b], weight[b])[1]
+
+    adam(words.params(), lessons(), 0.005, decay=1e-3)
+    words.table[0] = 0
+    scorer = Scorer(model)
+    summaries = np.array([Model.summary(z) for at in range(0, len(rest), 200) for z in scorer.logits([texts[k] for k in rest[at : at + 200]])])
+    target = np.array([toxic[k] for k in rest], float)
     last = {"b": np.zeros(5)}
 
     def descents() -> Iterator[dict]:
@@ -371,7 +416,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             yield {"b": summaries.T @ (sigmoid(summaries @ last["b"]) - target) / len(target) + 1e-4 * last["b"]}
 
     adam(last, descents(), 0.05)
-    return Model(Inputs(evidence(sets, toxic), evidence(sets, toxic, grams)), network, last["b"])
+    model.last = last["b"]
+    return model
 
 
 def held_out(id_col) -> F.Column:

@@ -84,33 +84,57 @@ def test_toxicity_scores_the_whole_of_long_tokens():
     assert low < toxicity.THRESHOLD <= min(behind, middle)
 
 
-def test_toxicity_pieces_keep_every_gram_and_mark_no_cut():
-    for n in (1, 63, 64, 65, 112, 113, 500):
+def test_toxicity_pieces_cover_long_tokens():
+    for n in (1, 23, 24, 25, 40, 41, 500):
         word = "".join(random.Random(n).choices("abcdefghij", k=n))
         got = toxicity.tokens(f"x ..{word}!! y")[1:-1]
-        assert max(len(p.strip(toxicity.CUT)) for p in got) <= toxicity.LONG
-        marked = f"^{word}$"
-        assert set().union(*(toxicity.grams(toxicity.plain(p)) for p in got)) == {marked[k : k + m] for m in toxicity.GRAMS for k in range(len(marked) - m + 1)}
+        core = [toxicity.plain(p).strip(toxicity.CUT) for p in got]
+        assert max(map(len, core)) <= toxicity.LONG
+        whole = core[0]
+        for p in core[1:]:
+            assert whole.endswith(p[: toxicity.OVERLAP])
+            whole += p[toxicity.OVERLAP :]
+        assert whole == word
+        spelt = [toxicity.letters(toxicity.plain(p)) for p in got]
+        assert [x[0] == 1 for x in spelt] == [True] + [False] * (len(got) - 1) and [x[-1] == 2 for x in spelt] == [False] * (len(got) - 1) + [True]
     assert toxicity.tokens(None) == [] and toxicity.plain(toxicity.tokens("-" * 500)[0]) == ""
 
 
-def test_network_gradients():
-    net = toxicity.Network()
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+def test_toxicity_of_very_long_tokens_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for token in ("-" * (1 << 20), "a-" * (1 << 19), "x" * (1 << 20)):
+        assert [toxicity.plain(p) for p in toxicity.tokens(token)]
+    assert time.process_time() - began < 4
+
+
+def test_toxicity_on_empty_tables(spark):
+    docs, labels = table(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, model).count() == 0 and {x.score for x in toxicity.score(table(spark, ODD), model).collect()} == {0.0}
+    assert toxicity.keep_clean(table(spark, ODD), model).count() == len(ODD)
+
+
+@pytest.mark.parametrize("more", [0, 3])
+def test_network_gradients(more):
     r = np.random.default_rng(0)
-    x, y = r.normal(size=(3, toxicity.WINDOW, toxicity.FEATURES)), np.array([1.0, 0.0, 1.0])
-    real = np.arange(toxicity.WINDOW)[None] < np.array([[32], [20], [5]])
-    w = np.ones(3)
-    loss, g = net.gradients(x, real, y, w)
-    for name in ("Wf", "Ub", "v", "w"):
-        at = tuple(0 for _ in net.p[name].shape)
-        old = net.p[name][at]
-        net.p[name][at] = old + 1e-3
-        up = net.gradients(x, real, y, w)[0]
-        net.p[name][at] = old - 1e-3
-        down = net.gradients(x, real, y, w)[0]
-        net.p[name][at] = old
-        assert (up - down) / 2e-3 == pytest.approx(float(g[name][at]), abs=2e-3)
+    unit = toxicity.Unit(9, 4, more, 5, r)
+    unit.table, unit.last, unit.reader.p = unit.table.astype(float), {k: v.astype(float) for k, v in unit.last.items()}, {k: v.astype(float) for k, v in unit.reader.p.items()}
+    ids, y, weight = r.integers(1, 9, (3, 7)), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    real = np.arange(7)[None] < np.array([[7], [4], [1]])
+    extra = r.normal(size=(3, 7, more)) if more else None
+    loss, g = unit.gradients(ids, extra, real, y, weight)
+    params = unit.params()
+    for name in ("Wf", "Wb", "Uf", "Ub", "v", "w", "c", "table"):
+        at = np.unravel_index(int(np.abs(g[name]).argmax()), g[name].shape)
+        old = params[name][at]
+        params[name][at] = old + 1e-5
+        up = unit.gradients(ids, extra, real, y, weight)[0]
+        params[name][at] = old - 1e-5
+        down = unit.gradients(ids, extra, real, y, weight)[0]
+        params[name][at] = old
+        assert (up - down) / 2e-5 == pytest.approx(float(g[name][at]), rel=1e-3)
 
 
 def test_decontamination_recall_and_alignment(spark):
