@@ -6,12 +6,14 @@ possessive repeats and look-behind, which match the same spans without backtrack
 
 Bootstrapping: matches of the fixed patterns are seed instances. The words around an instance
 induce lexical patterns: the two words before it, and the word before with the word after. Other
-tokens with a digit are candidate instances with patterns of their own. In a bipartite graph of
-patterns and instances, a pattern's confidence is the smoothed mean score of its distinct
-instances, a candidate's score that of its best supported pattern; scores go back and forth
-``ROUNDS`` times, starting from 1 for seeds and 0 for others. Candidates that reach ``ACCEPT``
-become spans of kind ``context``. All counts are over distinct instances, taken before shuffles,
-and joins go from many rows to one.
+tokens of ``LEAST`` characters or more, with a digit, ``@``, ``_`` or ``-`` (identifiers, not words),
+are candidate instances with patterns of their own. In a bipartite graph of patterns and instances, a
+pattern's confidence is the smoothed mean score of its distinct instances, its support the sum of the
+scores that reach ``ACCEPT``; a candidate's score is that of its best supported pattern. Scores go
+back and forth ``ROUNDS`` times, starting from 1 for seeds and 0 for others, so candidates that are
+accepted give support to patterns that no seed stands in, and these discover others. Candidates that
+reach ``ACCEPT`` become spans of kind ``context``. All counts are over distinct instances, taken
+before shuffles, and joins go from many rows to one. All bounds are parameters of ``extract``.
 
 Null, empty texts: no spans. Null ids stay; repeated rows give a row each. Only id and text are read.
 """
@@ -31,14 +33,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens of 6 to 64 characters with a digit among the first 64.
-TOKEN = "A-Za-z0-9@._%+/-"
-CANDIDATE = rf"(?<![{TOKEN}])(?=[A-Za-z@._%+/-]{{0,63}}[0-9])[{TOKEN}]{{6,64}}+(?![{TOKEN}])"
+#: Candidates are tokens of these characters, LEAST or more, with one of those that mark identifiers.
+TOKEN, MARKS, LEAST = "A-Za-z0-9@._%+/-", "0-9@_-", 4
 #: Characters of context on each side.
 AROUND = 48
-ROUNDS = 3
-#: Distinct seeds that a pattern needs, its least confidence, and the score of an accepted candidate.
-SUPPORT, CONFIDENT, ACCEPT = 3, 0.6, 0.6
+ROUNDS = 4
+#: Support that a pattern needs, its least confidence, and the score of an accepted candidate.
+SUPPORT, CONFIDENT, ACCEPT = 3.0, 0.6, 0.6
 BLOCK = 128
 
 
@@ -111,13 +112,17 @@ def written(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def contexts(text: Column, spans: Column, kind: str) -> Column:
+def candidates(least: int) -> str:
+    return rf"(?<![{TOKEN}])(?=[{TOKEN}]{{{least}}})(?=[{TOKEN}]*[{MARKS}])[{TOKEN}]++"
+
+
+def contexts(text: Column, spans: Column, kind: str, around: int = AROUND) -> Column:
     """(kind, start, end, instance, patterns) of each span."""
 
     def one(s: Column) -> Column:
-        at = F.greatest(s["start"] - AROUND, F.lit(0))
+        at = F.greatest(s["start"] - around, F.lit(0))
         before = F.lower(F.substring(text, at + 1, s["start"] - at))
-        after = F.lower(F.substring(text, s["end"] + 1, F.lit(AROUND)))
+        after = F.lower(F.substring(text, s["end"] + 1, F.lit(around)))
         two = F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
         last = F.regexp_extract(before, r"(?:^|\s)(\S+)\s*$", 1)
         follows = F.regexp_extract(after, r"^\S*\s+(\S+)", 1)
@@ -129,14 +134,17 @@ def contexts(text: Column, spans: Column, kind: str) -> Column:
     return F.transform(spans, one)
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extract(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, around: int = AROUND,
+    rounds: int = ROUNDS, support: float = SUPPORT, confident: float = CONFIDENT, accept: float = ACCEPT,
+) -> DataFrame:
     """One row per document: counts, base_sha256, spans (base and found), n_context."""
     folder = common.shared_dir(docs.sparkSession)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for kind, pattern in PATTERNS.items():
         df = with_spans(df, pattern, kind, gate(kind))
         df = df.withColumn(kind, F.filter(kind, passes(kind)))
-    df = with_spans(df, CANDIDATE, "other", gate("token"))
+    df = with_spans(df, candidates(least), "other", F.col("text").rlike(f"[{MARKS}]"))
     bases = F.concat(*[F.col(k) for k in PATTERNS])
     df = df.withColumn("other", F.when(F.size("other") > 0, F.filter("other", lambda s: ~F.exists(bases, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.col("other")))
     df = df.select(
@@ -144,11 +152,11 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.xxhash64("text").alias("hash"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS],
         F.concat(*[written(F.col(k), k) for k in PATTERNS]).alias("base"),
-        F.concat(*[contexts(F.col("text"), F.col(k), k) for k in (*PATTERNS, "other")]).alias("occurrences"),
+        F.concat(*[contexts(F.col("text"), F.col(k), k, around) for k in (*PATTERNS, "other")]).alias("occurrences"),
     )
     rows = common.stage(df, folder, "scanned")
     seen = rows.where(F.size("occurrences") > 0).select("doc_id", "hash", F.explode("occurrences").alias("o")).select("doc_id", "hash", "o.*")
-    found = discovered(seen, folder)
+    found = discovered(seen, folder, rounds, support, confident, accept)
     more = (
         seen.where("kind = 'other'").join(found, "instance", "left_semi").select("doc_id", "hash", "start", "end").distinct()
         .groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))  # spans of one text
@@ -165,18 +173,18 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def discovered(seen: DataFrame, folder: str) -> DataFrame:
+def discovered(seen: DataFrame, folder: str, rounds: int, support: float, confident: float, accept: float) -> DataFrame:
     """Accepted candidate instances with their score, by rounds over the pattern-instance graph."""
     edges = seen.select("instance", (F.col("kind") != "other").alias("seed"), F.explode("patterns").alias("pattern"))
     edges = common.stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), folder, "edges")
     scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
-    for k in range(ROUNDS):
+    for k in range(rounds):
         scores = common.stage(scores, folder, f"scores-{k}")
         patterns = (
             edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern")
-            .agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support"))
-            .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
+            .agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.when(F.col("score") >= accept, F.col("score")).otherwise(0.0)).alias("support"))
+            .where((F.col("support") >= support) & (F.col("confidence") >= confident))
         )
         best = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
         scores = scores.join(best, "instance", "left").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "seed")
-    return common.stage(scores.where(~F.col("seed") & (F.col("score") >= ACCEPT)), folder, "found")
+    return common.stage(scores.where(~F.col("seed") & (F.col("score") >= accept)), folder, "found")

@@ -312,6 +312,60 @@ def test_personal_data_base_and_context(spark):
     assert got[90].spans == "" and pii.extract(table(spark, rows).limit(0)).count() == 0
 
 
+def brute_personal(text):
+    """Base spans by kind, read from the contract."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", m))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", m))
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def test_personal_data_base_against_brute_force(spark):
+    r = random.Random(17)
+    parts = ["1", "12", "4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "255", "256", ".", ".", "-", " ", "+1", "+", "(234)", "555-0199", "a.b", "@", "x@y.z", "c-d.e", "%", "é", "😀", "_", "\n", "0", "007"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 16)))) for i in range(1500)]
+    for x in pii.extract(table(spark, rows)).collect():
+        want = brute_personal(rows[x.doc_id][1])
+        assert x.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), rows[x.doc_id][1]
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [want.count(k) for k in ("email", "ip", "card", "phone")]
+        assert (x.spans + ",").startswith(want + "," * bool(want))
+
+
+def test_personal_data_discovers_unseen_identifiers(spark):
+    """Identifiers beside seeds, and others that only stand beside discovered ones."""
+    r = random.Random(3)
+    filler = sentences(8, 400, 4, 9)
+    word = lambda: r.choice(filler)
+    rows, want = [], set()
+    for i in range(30):
+        rows.append(f"{word()} customer contact: user{i}@mail{i}.org for more {word()}")
+    for i in range(12):
+        rows.append(f"{word()} customer contact: handle_{i} for more {word()}")
+        rows.append(f"{word()} known on forum as handle_{i} since then {word()}")
+        want |= {(len(rows) - 2, f"handle_{i}"), (len(rows) - 1, f"handle_{i}")}
+    for i in range(4):
+        rows.append(f"{word()} known on forum as nick-at-home{i} since then {word()}")
+        want.add((len(rows) - 1, f"nick-at-home{i}"))
+    for i in range(60):
+        rows.append(f"{word()} in room b{i}0 at {1950 + i} we {word()} part-{i} {word()}")
+    got = set()
+    for x in pii.extract(table(spark, list(enumerate(rows)))).collect():
+        got |= {(x.doc_id, rows[x.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in x.spans.split(",") if s.startswith("context")}
+    assert got == want
+    alone = pii.extract(table(spark, list(enumerate(rows))), rounds=1).collect()
+    assert sum(x.n_context for x in alone) == 24  # the handles, in both places; no nick
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
