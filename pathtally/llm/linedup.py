@@ -1,8 +1,10 @@
 """Line dedup: exact copies by digest, near copies by a deletion-neighbourhood join.
 
 The edit distance is that of word sequences, the bound one edit: a word replaced, left out or put
-in. Lines (split at "\\n", white space between words levelled) of at least ``MIN_WORDS`` words take
-part, those of at least ``NEAR_WORDS`` also by near copies. Order is (doc_id, line number).
+in. Lines (split at "\\n", white space between words levelled) of at least ``min_words`` words take
+part (1: all lines that have words), those of at least ``near_words`` (3 or more) also by near copies;
+both are exact at any setting. By default short lines such as headings and list marks, which repeat in
+clean texts, are left alone. Order is (doc_id, line number).
 A line is dropped if an earlier line is equal to it or lies within the bound; the keeper named is
 the earliest such line. Dropped lines still count as earlier lines for later ones.
 
@@ -16,7 +18,8 @@ the earliest such line. Dropped lines still count as earlier lines for later one
 
 Null or empty texts have no lines. Null ids: their lines are kept and keep no others. Rows that
 repeat an id are the same document: the same line in the same place is not its own copy. Other
-columns are not read by ``repeated_lines``; ``drop_lines`` returns them as they are.
+columns are not read by ``repeated_lines``; ``drop_lines`` returns them as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_WORDS, NEAR_WORDS = 5, 12
+MIN_WORDS, NEAR_WORDS = 5, 5
 #: Places are doc_id * PLACE + line number.
 PLACE = 1 << 32
 #: Odd multiplier of the sequence hash.
@@ -72,7 +75,7 @@ def halves(words: list[bytes]) -> list[int]:
 
 
 def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, BASE, np.uint64)]).astype(np.uint64)) if n else np.ones(1, np.uint64)
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]), dtype=np.uint64)
 
 
 def variants(words: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
@@ -104,7 +107,7 @@ def within_one(a: list[str], b: list[str]) -> int:
     return 1 if max(i, j) - k <= 1 else 2
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """doc_id, line, h1, h2 (digest), near (keys of halves; null for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +117,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(batch.column(0).slice(at, 100).to_pylist(), batch.column(1).slice(at, 100).to_pylist(), strict=True):
                     for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")) if text else ():
                         words = line.split()
-                        if len(words) >= MIN_WORDS:
-                            rows.append((doc, k, *digest(words), halves(words) if len(words) >= NEAR_WORDS else None))
+                        if len(words) >= min_words:
+                            rows.append((doc, k, *digest(words), halves(words) if len(words) >= near_words else None))
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "line", "h1", "h2", "near"])
@@ -138,11 +141,14 @@ def line_words(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "y.x.line", "y.x.first", "y.x.last", "y.words")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, line, keep_doc_id, keep_line, edits (0 or 1) of every line that is dropped."""
+    if min_words < 1 or near_words < 3:
+        raise ValueError("lines have one word at least, and near copies three")
+    near_words = max(min_words, near_words)
     folder = common.shared_dir(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = common.stage(lines_of(given), folder, "lines")
+    lines = common.stage(lines_of(given, min_words, near_words), folder, "lines")
     # equal digests have equal words, so any value of the class is the value
     classes = common.stage(lines.groupBy("h1", "h2").agg(F.min(place("doc_id", "line")).alias("at"), F.count("*").alias("copies")), folder, "classes")
     keyed = lines.where("near is not null").select("h1", "h2", F.posexplode("near").alias("side", "key"))
@@ -197,8 +203,6 @@ def emitted(lines: DataFrame) -> DataFrame:
             for doc, line, first, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 n = len(words)
-                if n < NEAR_WORDS:
-                    continue
                 blank, less, whole = variants(hashes.of(words), powers(n))
                 where = slice(0 if last else (n - 1) // 2, n if first else n - (n - 1) // 2)
                 blank, less = blank[where], less[where]
@@ -217,7 +221,8 @@ def emitted(lines: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated lines. A document none of whose words are left goes; one that had no words stays."""
-    gone = repeated.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone"))  # lines of one document
+    doc, gone, left = common.fresh(docs.columns, "doc", "gone", "left")
+    lines = repeated.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line").alias(gone))  # lines of one document
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -230,6 +235,6 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", tex
             out.append("\n".join([line for k, line in enumerate(text.split("\n")) if k not in drop]))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left").withColumn("__rest", rest(F.col(text_col), F.col("__gone")))
-    kept = joined.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace(F.col("__rest"), r"\s+", " ")) != ""))
-    return kept.select(*[F.col("__rest").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(lines, F.col(f"`{id_col}`") == F.col(doc), "left").withColumn(left, rest(F.col(f"`{text_col}`"), F.col(gone)))
+    kept = joined.where(F.col(gone).isNull() | (F.trim(F.regexp_replace(F.col(left), r"\s+", " ")) != ""))
+    return kept.select(*[F.col(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

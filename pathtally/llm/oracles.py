@@ -37,4 +37,21 @@ m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN m ON c.rep = m.node
 """
 
-ORACLES = {"op1_warc": OP1, "op5_superminhash": OP5}
+OP4 = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(len(ls))) AS line, ls FROM t),
+l AS (SELECT DISTINCT doc_id, line, regexp_extract_all(ls[line + 1], '[^\x20\x09-\x0D]+') AS w FROM u),
+m AS (SELECT *, {'d': doc_id, 'n': line} AS pl FROM l WHERE len(w) >= 5),
+c AS (SELECT w, min(pl) AS first FROM m GROUP BY w),
+h AS (SELECT w, first, len(w) AS n, unnest([len(w), len(w) + 1]) AS c FROM c),
+k AS (SELECT w, first, n, c, 'first' AS side, w[1:(c - 1) // 2] AS part FROM h UNION ALL SELECT w, first, n, c, 'last', w[n - (c - 1) // 2 + 1:n] FROM h),
+p AS (SELECT DISTINCT a.w AS aw, a.first AS a, b.w AS bw, b.first AS b FROM k a JOIN k b ON a.side = b.side AND a.c = b.c AND a.part = b.part AND a.first < b.first WHERE abs(a.n - b.n) <= 1),
+q AS (SELECT a, b, len(aw) AS x, len(bw) AS y, least(x, y) AS z,
+  coalesce(nullif(list_position(list_transform(range(1, z + 1), lambda i: aw[i] = bw[i]), false), 0) - 1, z) AS pre,
+  coalesce(nullif(list_position(list_transform(range(1, z + 1), lambda i: aw[x - i + 1] = bw[y - i + 1]), false), 0) - 1, z) AS suf FROM p),
+e AS (SELECT b, min(a) AS keep FROM q WHERE greatest(x, y) - least(z, pre + suf) <= 1 GROUP BY b),
+f AS (SELECT c.w, c.first, coalesce(e.keep, c.first) AS keep FROM c LEFT JOIN e ON e.b = c.first)
+SELECT m.doc_id, m.line::INTEGER AS line, f.keep.d AS keep_doc_id, f.keep.n::INTEGER AS keep_line, (f.keep < f.first)::INTEGER AS edits FROM m JOIN f ON m.w = f.w WHERE f.keep < m.pl
+"""
+
+ORACLES = {"op4_linedup": OP4, "op1_warc": OP1, "op5_superminhash": OP5}

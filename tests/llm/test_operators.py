@@ -188,20 +188,21 @@ def test_decontamination_pieces_cover_items_and_share_the_bound():
         assert max(b - a for a, b in own) <= decontam.PIECE and sum(decontam.bound(b - a) + 1 for a, b in own) > decontam.bound(length)
 
 
-def brute_lines(rows):
-    lines = sorted((d, k, w) for d, t in rows if t and d is not None for k, x in enumerate(t.split("\n")) if len(w := x.split()) >= linedup.MIN_WORDS)
+def brute_lines(rows, least=linedup.MIN_WORDS, near=linedup.NEAR_WORDS):
+    lines = sorted((d, k, w) for d, t in rows if t and d is not None for k, x in enumerate(t.split("\n")) if len(w := x.split()) >= least)
     out = {}
     for n, (d, k, w) in enumerate(lines):
         for e, j, v in lines[:n]:
-            if (e, j) < (d, k) and (w == v or min(len(w), len(v)) >= linedup.NEAR_WORDS and linedup.within_one(w, v) == 1):
+            if (e, j) < (d, k) and (w == v or min(len(w), len(v)) >= near and linedup.within_one(w, v) == 1):
                 out[d, k] = e, j
                 break
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("bounds", [(5, 5), (1, 3), (4, 12)])
+def test_line_dedup_against_brute_force(spark, bounds):
     r = random.Random(9)
-    pool = sentences(2, 25, 3, 30)
+    pool = sentences(2, 25, 1, 30)
     rows = []
     for d in range(40):
         lines = []
@@ -218,14 +219,33 @@ def test_line_dedup_against_brute_force(spark):
             lines.append(" ".join(w))
         rows.append((d, "\n".join(lines)))
     docs = table(spark, rows + ODD)
-    repeated = linedup.repeated_lines(docs)
+    repeated = linedup.repeated_lines(docs, min_words=bounds[0], near_words=bounds[1])
     got = {(x.doc_id, x.line): (x.keep_doc_id, x.keep_line) for x in repeated.collect()}
-    assert got == brute_lines(rows + [(93, "word " * 3000)])
+    assert got == brute_lines([x for x in rows + ODD[:-1] if x[1]], *bounds)
     left = linedup.drop_lines(docs, repeated)
     assert left.columns == docs.columns and {90, 91, 92} <= {x.doc_id for x in left.collect()}
     assert linedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_variants_depend_on_every_word():
+    assert linedup.powers(40).tolist() == [pow(linedup.BASE, k, 1 << 64) for k in range(41)]
+    r = np.random.default_rng(1)
+    words = r.integers(1, 1 << 62, 40).astype(np.uint64)
+    for i in (0, 7, 39):
+        other = words.copy()
+        other[i] += np.uint64(1)
+        a, b = (linedup.variants(w, linedup.powers(40)) for w in (words, other))
+        assert (a[0] == b[0]).tolist() == (a[1] == b[1]).tolist() == [k == i for k in range(40)] and a[2] != b[2]
+
+
+def test_dropping_lines_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7, "x", "y"), (2, "a b c d e f\nkeep this line", 8, "x", "y"), (None, "a b c d e f", 9, None, None), (3, None, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line int, gone string, `left` string")
+    left = linedup.drop_lines(docs, linedup.repeated_lines(docs))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], (2, "keep this line", 8, "x", "y"), rows[2], rows[3]], key=str)
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for d, t in rows:
