@@ -79,13 +79,28 @@ def tokens(text: str | None) -> list[str]:
 
 def plain(word: str) -> str:
     """A token in lower case without the marks around it; at most ``LONG`` characters and cuts go in."""
-    return word.lower() if CUT in word else EDGE.sub("", word.lower())
+    return word.lower() if word.isalnum() or CUT in word else EDGE.sub("", word.lower())
 
 
-def letters(word: str) -> list[int]:
-    """Buckets of a plain word's characters: 1 and 2 for its ends, none where it is cut."""
-    inner = [3 + ord(c) % (CHARS - 3) for c in word.strip(CUT)]
-    return [1] * (not word.startswith(CUT)) + inner + [2] * (not word.endswith(CUT))
+def spelling(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the characters of plain words, one after the other, and where each word starts and the last ends.
+
+    Words are between the buckets 1 and 2, but not where they are cut.
+    """
+    text = "\2" + "\3\n\2".join(words) + "\3\n"
+    if CUT in text:
+        text = text.replace("\2" + CUT, "").replace(CUT + "\3", "")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = codes == 10
+    buckets = np.where((codes == 2) | (codes == 3), codes - 1, 3 + codes % np.uint32(CHARS - 3)).astype(np.int32)[~ends]
+    return buckets, np.concatenate([[0], np.flatnonzero(ends) - np.arange(int(ends.sum()))])
+
+
+def spelt_rows(buckets: np.ndarray, starts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(words, longest) of the buckets of some words, 0 behind their ends."""
+    n = starts[own + 1] - starts[own]
+    at = starts[own][:, None] + np.arange(max(1, int(n.max(initial=1))))
+    return np.where(at < starts[own + 1][:, None], buckets[np.minimum(at, len(buckets) - 1)], 0)
 
 
 def windows(n: int) -> list[int]:
@@ -241,13 +256,13 @@ class Model:
         reader = self.chars.reader
         tables = {d: np.concatenate([reader.pad_row()[None], t]) for d, t in reader.project(self.chars.table).items()}
         out = np.zeros((len(words), 2 * reader.hidden), np.float32)
-        spelling = [letters(w) for w in words]
-        order = sorted(range(len(words)), key=lambda k: len(spelling[k]))
+        if not words:
+            return out
+        buckets, starts = spelling(words)
+        order = np.argsort(np.diff(starts), kind="stable")
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            ids = np.zeros((len(own), max(1, len(spelling[own[-1]]))), np.int32)
-            for row, w in zip(ids, own, strict=True):
-                row[: len(spelling[w])] = spelling[w]
+            ids = spelt_rows(buckets, starts, own)
             # row 0 of the tables is no character
             out[own] = reader.read(tables, np.where(ids > 0, ids + 1, 0))
         return out
@@ -274,28 +289,35 @@ class Scorer:
 
     def reset(self) -> None:
         reader = self.model.words.reader
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str, int] = {}  # rows of tokens, and of their plain forms
+        self.plain: dict[str, int] = {}
         self.tables = {d: np.tile(reader.pad_row(), (1, 1)) for d in "fb"}
         self.used = 1
 
-    def add(self, words: list[str]) -> None:
-        x = self.model.inputs([plain(w) for w in words])
-        for d, rows in self.model.words.reader.project(x).items():
-            if self.used + len(rows) > len(self.tables[d]):
-                grown = np.empty((2 * (self.used + len(rows)), rows.shape[1]), np.float32)
-                grown[: self.used] = self.tables[d][: self.used]
-                self.tables[d] = grown
-            self.tables[d][self.used : self.used + len(rows)] = rows
-        self.used += len(words)
+    def add(self, fresh: list[str]) -> None:
+        """Rows for tokens not met before; tokens of one plain form share a row."""
+        forms = [plain(w) for w in fresh]
+        words = [w for w in dict.fromkeys(forms) if w not in self.plain]
+        if words:
+            self.plain.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+            for d, rows in self.model.words.reader.project(self.model.inputs(words)).items():
+                if self.used + len(rows) > len(self.tables[d]):
+                    grown = np.empty((3 * (self.used + len(rows)) // 2, rows.shape[1]), np.float32)
+                    grown[: self.used] = self.tables[d][: self.used]
+                    self.tables[d] = grown
+                self.tables[d][self.used : self.used + len(rows)] = rows
+            self.used += len(words)
+        self.ids.update(zip(fresh, map(self.plain.__getitem__, forms), strict=True))
 
     def logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text, the scores of all its windows."""
-        if len(self.ids) > CACHE:
+        if len(self.plain) > CACHE:
             self.reset()
+        elif len(self.ids) > 2 * CACHE:
+            self.ids.clear()
         split = [tokens(text) for text in texts]
         fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.ids]
         if fresh:
-            self.ids.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
             self.add(fresh)
         rows = [framed(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))) for words in split]
         ids = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int32)
@@ -319,15 +341,13 @@ def balanced(y: np.ndarray) -> np.ndarray:
 def spelling_lessons(unit: Unit, words: list[str], alarming: np.ndarray, r: np.random.Generator) -> Iterator[dict]:
     """Gradients of the character reader over distinct words, batches of like lengths."""
     weight = balanced(alarming)
-    spelling = [letters(w) for w in words]
-    by_length = np.array(sorted(range(len(words)), key=lambda k: len(spelling[k])))
+    buckets, starts = spelling(words)
+    by_length = np.argsort(np.diff(starts), kind="stable")
     batches = [by_length[k : k + 256] for k in range(0, len(by_length), 256)]
     for _ in range(CHAR_ROUNDS):
         for k in r.permutation(len(batches)):
             own = batches[k]
-            ids = np.zeros((len(own), max(1, len(spelling[own[-1]]))), np.int32)
-            for row, w in zip(ids, own, strict=True):
-                row[: len(spelling[w])] = spelling[w]
+            ids = spelt_rows(buckets, starts, own)
             yield unit.gradients(ids, None, ids > 0, alarming[own], weight[own])[1]
 
 

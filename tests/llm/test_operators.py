@@ -95,8 +95,10 @@ def test_toxicity_pieces_cover_long_tokens():
             assert whole.endswith(p[: toxicity.OVERLAP])
             whole += p[toxicity.OVERLAP :]
         assert whole == word
-        spelt = [toxicity.letters(toxicity.plain(p)) for p in got]
-        assert [x[0] == 1 for x in spelt] == [True] + [False] * (len(got) - 1) and [x[-1] == 2 for x in spelt] == [False] * (len(got) - 1) + [True]
+        buckets, starts = toxicity.spelling([toxicity.plain(p) for p in got])
+        spelt = [buckets[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert toxicity.spelt_rows(buckets, starts, np.arange(len(got))).tolist() == [x + [0] * (max(map(len, spelt)) - len(x)) for x in spelt]
+        assert [len([c for c in x if c > 2]) for x in spelt] == [len(c) for c in core] and [x[0] == 1 for x in spelt] == [True] + [False] * (len(got) - 1) and [x[-1] == 2 for x in spelt] == [False] * (len(got) - 1) + [True]
     assert toxicity.tokens(None) == [] and toxicity.plain(toxicity.tokens("-" * 500)[0]) == ""
 
 
