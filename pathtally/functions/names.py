@@ -77,6 +77,15 @@ def kmer_code(seq: Column) -> Column:
     return F.aggregate(F.filter(bits, lambda b: F.lit(True)), F.lit(0).cast("long"), lambda a, b: a * 4 + b)
 
 
+def code_reverse_complement(code: Column, k: int) -> Column:
+    """The code of the reverse complement: pairs of bits in turned order, each taken from 3."""
+    return sum((F.shiftleft(3 - F.pmod(F.shiftright(code, 2 * i), F.lit(4)), 2 * (k - 1 - i)) for i in range(k)), F.lit(0).cast("long"))
+
+
+def canonical_code(code: Column, k: int) -> Column:
+    return F.least(code, code_reverse_complement(code, k))
+
+
 def kmer_text(code: Column, k: int) -> Column:
     return F.concat(*[F.substring(F.lit("ACGT"), F.pmod(F.shiftright(code, 2 * (k - 1 - i)), F.lit(4)).cast("int") + 1, F.lit(1)) for i in range(k)])
 

@@ -109,8 +109,8 @@ def rebin(values: dict[str, float], most: int = 100, bins: int = 50) -> list[tup
     return [(f"{low + k * width:g}-{low + (k + 1) * width:g}", float(n)) for k, n in enumerate(counts)]
 
 
-def hexbins(coverage: DataFrame, nx: int = 15, ny: int = 9) -> DataFrame:
-    """x, y, size: nodes by coverage and log10 of their length on two interleaved lattices.
+def hexbin_nodes(coverage: DataFrame, nx: int = 15, ny: int = 9) -> DataFrame:
+    """item, x, y: the bin of each node, by coverage and log10 of its length, on two interleaved lattices.
 
     ``coverage``: node coverage with column len. A point belongs to the nearer lattice centre.
     """
@@ -121,9 +121,14 @@ def hexbins(coverage: DataFrame, nx: int = 15, ny: int = 9) -> DataFrame:
     ax, ay = F.round(F.col("x") / F.col("dx")), F.round(F.col("y") / F.col("dy"))
     bx, by = F.floor(F.col("x") / F.col("dx")), F.floor(F.col("y") / F.col("dy"))
     p = p.select("item", "dx", "dy", ax.alias("ax"), ay.alias("ay"), bx.cast("double").alias("bx"), by.cast("double").alias("by"), (F.col("x") / F.col("dx")).alias("ux"), (F.col("y") / F.col("dy")).alias("uy"))
+
     def far(x: str, y: str, shift: float):
         return F.hypot((F.col("ux") - F.col(x) - shift) * F.col("dx"), (F.col("uy") - F.col(y) - shift) * F.col("dy"))
 
     near = far("ax", "ay", 0.0) < far("bx", "by", 0.5)
-    cell = p.select("item", F.when(near, F.col("ax") * F.col("dx")).otherwise((F.col("bx") + 0.5) * F.col("dx")).alias("x"), F.when(near, F.col("ay") * F.col("dy")).otherwise((F.col("by") + 0.5) * F.col("dy")).alias("y"))
-    return cell.groupBy(F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).agg(F.count("*").alias("size"))
+    return p.select("item", F.when(near, F.col("ax") * F.col("dx")).otherwise((F.col("bx") + 0.5) * F.col("dx")).alias("x"), F.when(near, F.col("ay") * F.col("dy")).otherwise((F.col("by") + 0.5) * F.col("dy")).alias("y"))
+
+
+def hexbins(coverage: DataFrame, nx: int = 15, ny: int = 9) -> DataFrame:
+    """x, y, size: nodes a bin."""
+    return hexbin_nodes(coverage, nx, ny).groupBy(F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).agg(F.count("*").alias("size"))

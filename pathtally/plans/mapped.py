@@ -70,6 +70,13 @@ def some_orders(spark: SparkSession, sf_dir: str, priority: str) -> DataFrame:
     return load(spark, sf_dir, "orders").where(F.col("o_orderpriority") == priority).select(F.col("o_orderkey").alias("path_id"))
 
 
+def short_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders of the customers of nation 7."""
+    customers = load(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
+    orders = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").join(customers, "o_custkey", "left_semi")
+    return orders.select(F.col("o_orderkey").alias("path_id"))
+
+
 def intervals(spark: SparkSession, sf_dir: str, priority: str, low: int, high: int) -> DataFrame:
     return whole(some_orders(spark, sf_dir, priority)).withColumns({"start": F.lit(low).cast("long"), "end": F.lit(high).cast("long")})
 
@@ -98,6 +105,12 @@ al AS (SELECT unnest(range(0, ({groups}) + 1)) AS coverage)
 SELECT '{measure}' AS "count", coverage::INTEGER AS coverage, coalesce(n, 0)::BIGINT AS n FROM al LEFT JOIN hs ON cov = coverage"""
 
 
+EDGE_MASKS = f"""o AS (SELECT o_orderkey, c_mktsegment, c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+l AS ({SOURCE}),
+st AS (SELECT l_orderkey AS path_id, pos, l_suppkey AS n, l_linestatus = 'F' AS f, c_mktsegment AS g, c_nationkey AS nation, o_orderpriority AS prio, 1 + s_nationkey AS len,
+  sum(1 + s_nationkey) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT - (1 + s_nationkey) AS p FROM l JOIN o ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+pr AS (SELECT *, lead(n) OVER w AS n2, lead(f) OVER w AS f2, lead(p) OVER w AS p2, lead(len) OVER w AS len2 FROM st WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
+ed AS (SELECT g, prio, nation, p2, len2, CASE WHEN n > n2 OR (n = n2 AND NOT f) THEN (n2, NOT f2, n, NOT f) ELSE (n, f, n2, f2) END AS item FROM pr WHERE n2 IS NOT NULL)"""
 EDGE_ITEMS = "SELECT DISTINCT item, 1 AS len FROM ed"
 EDGE_HIST = hist_sql("edge", EDGE_STEPS, items=EDGE_ITEMS, rows="ed")
 
@@ -199,12 +212,6 @@ def bed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = by_sample(spark, sf_dir, urgent=True)
-    return similarity.jaccard(x.presence("bp"), x.items("bp"), x.n_groups).withColumn("value", F.round("value", 6))
-
-
-def jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all orders; ``similarity`` is bound to the orders that its SQL selects."""
     x = by_sample(spark, sf_dir)
     return similarity.jaccard(x.presence("bp"), x.items("bp"), x.n_groups).withColumn("value", F.round("value", 6))
 
@@ -215,14 +222,14 @@ def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = mapped_graph(spark, sf_dir)
-    edges = g.edges.where("(u + v) % 13 = 0 and v < u + 40")
-    return info.components(g.nodes, edges)
+    return info.components(g.nodes, g.edges)
 
 
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all edges; ``components`` is bound to the edges that its SQL selects."""
-    g = mapped_graph(spark, sf_dir)
-    return info.components(g.nodes, g.edges)
+def brand_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph that joins parts of one brand only: nodes, edges. It falls into many components."""
+    g, brand = mapped_graph(spark, sf_dir), load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand")
+    u, v = brand.select(F.col("k").alias("u"), F.col("p_brand").alias("ub")), brand.select(F.col("k").alias("v"), F.col("p_brand").alias("vb"))
+    return g.nodes, g.edges.join(u, "u").join(v, "v").where("ub = vb")
 
 
 def hexbins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_all": hist_all,
     "hist_urgent": hist("node", urgent=True),
     "hist_subset": hist("node", include=orders_of("1-URGENT")),
-    "hist_exclude": hist("node", exclude=lambda s, d: whole(some_orders(s, d, "1-URGENT").where("path_id % 50 = 0"))),
+    "hist_exclude": hist("node", exclude=lambda s, d: whole(short_list(s, d))),
+    "hist_edge_subset": hist("edge", True, include=lambda s, d: intervals(s, d, "2-HIGH", 10, 60)),
+    "hist_edge_exclude": hist("edge", True, exclude=lambda s, d: whole(short_list(s, d))),
+    "hist_bp_exclude": hist("bp", include=lambda s, d: intervals(s, d, "2-HIGH", 10, 60), exclude=lambda s, d: intervals(s, d, "2-HIGH", 20, 24)),
     "hist_bp_interval": hist("bp", include=lambda s, d: intervals(s, d, "2-HIGH", 10, 60)),
     "coverage_line": lambda s, d: hist("node")(s, d).where("coverage > 0"),
     "growth_union": grown("1", "0"),
@@ -270,14 +280,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_total": lambda s, d: by_sample(s, d).table("node", total=True),
     "table_group": lambda s, d: by_sample(s, d).table("bp"),
     "similarity": jaccard,
-    "similarity_all": jaccard_all,
     "node_distribution": hexbins,
     "info_graph": lambda s, d: (lambda g: info.graph_info(g.nodes, g.edges))(mapped_graph(s, d, True)),
     "info_node": lambda s, d: info.node_info(mapped_graph(s, d).nodes),
     "info_path": lambda s, d: info.path_info(by_sample(s, d).path_lengths()),
     "info_group": group_info,
     "components": components,
-    "components_all": components_all,
+    "components_of_brands": lambda s, d: info.components(*brand_links(s, d)),
+    "component_info": lambda s, d: info.component_info(*brand_links(s, d)),
     "gfa_parse_roundtrip": gfa_parse,
     "pansn_parse": pansn,
     "bed_merge": bed_merge,
@@ -302,8 +312,21 @@ hs AS (SELECT cov, sum(len - unc) AS n FROM cv GROUP BY 1 UNION ALL SELECT 0, su
 ht AS (SELECT cov, sum(n) AS n FROM hs GROUP BY 1),
 al AS (SELECT unnest(range(0, (SELECT count(DISTINCT g) FROM st WHERE prio = '2-HIGH') + 1)) AS coverage)
 SELECT 'bp' AS "count", coverage::INTEGER AS coverage, coalesce(n, 0)::BIGINT AS n FROM al LEFT JOIN ht ON cov = coverage"""
-JACCARD = f"""WITH {PART_STEPS}, su AS (SELECT * FROM st WHERE prio = '1-URGENT'), gx AS (SELECT g, row_number() OVER (ORDER BY min(path_id)) - 1 AS gi FROM su GROUP BY g),
-pz AS (SELECT DISTINCT item, gi, len FROM su JOIN gx USING (g)), ln AS (SELECT gi, sum(len) AS s FROM pz GROUP BY gi),
+SPANS = """SELECT item AS key, len, g, CASE WHEN fwd THEN greatest({a} - p, 0) ELSE len - least({b} - p, len) END AS "start", CASE WHEN fwd THEN least({b} - p, len) ELSE len - greatest({a} - p, 0) END AS "end"
+  FROM st WHERE prio = '2-HIGH' AND p < {b} AND p + len > {a}"""
+BP_EXCLUDE = f"""WITH {PART_STEPS}, iv AS ({SPANS.format(a=10, b=60)}), xv AS ({SPANS.format(a=20, b=24)}),
+{ISLANDS.format(a="i1", b="i2", src="iv")}, {ISLANDS.format(a="x1", b="x2", src="xv")},
+gone AS (SELECT DISTINCT x2.key FROM x2 JOIN part ON p_partkey = key WHERE x2."start" <= 0 AND x2."end" >= p_size),
+sz AS (SELECT key, sum("end" - "start") AS size FROM i2 GROUP BY key),
+ct AS (SELECT i2.key, sum(least(i2."end", x2."end") - greatest(i2."start", x2."start")) AS cut FROM i2 JOIN x2 ON i2.key = x2.key AND i2."start" < x2."end" AND i2."end" > x2."start" GROUP BY 1),
+un AS (SELECT sz.key AS item, p_size - size + coalesce(cut, 0) AS unc FROM sz LEFT JOIN ct ON ct.key = sz.key JOIN part ON p_partkey = sz.key WHERE sz.key NOT IN (SELECT key FROM gone)),
+pz AS (SELECT DISTINCT key AS item, g FROM iv WHERE key NOT IN (SELECT key FROM gone)),
+cv AS (SELECT p_partkey AS item, p_size - coalesce(unc, 0) AS w, coalesce(unc, 0) AS unc, count(g) AS cov FROM part LEFT JOIN un ON un.item = p_partkey LEFT JOIN pz ON pz.item = p_partkey GROUP BY ALL),
+ht AS (SELECT cov, sum(n) AS n FROM (SELECT cov, w AS n FROM cv UNION ALL SELECT 0, unc FROM cv) GROUP BY 1),
+al AS (SELECT unnest(range(0, (SELECT count(DISTINCT g) FROM st WHERE prio = '2-HIGH') + 1)) AS coverage)
+SELECT 'bp' AS "count", coverage::INTEGER AS coverage, coalesce(n, 0)::BIGINT AS n FROM al LEFT JOIN ht ON cov = coverage"""
+JACCARD = f"""WITH {PART_STEPS}, gx AS (SELECT g, row_number() OVER (ORDER BY min(path_id)) - 1 AS gi FROM st GROUP BY g),
+pz AS (SELECT DISTINCT item, gi, len FROM st JOIN gx USING (g)), ln AS (SELECT gi, sum(len) AS s FROM pz GROUP BY gi),
 bo AS (SELECT a.gi AS x, b.gi AS y, sum(a.len) AS i FROM pz a JOIN pz b USING (item) GROUP BY 1, 2)
 SELECT a.gi::INTEGER AS x, b.gi::INTEGER AS y, round(coalesce(i, 0)::DOUBLE / (a.s + b.s - coalesce(i, 0)), 6) AS value FROM ln a CROSS JOIN ln b LEFT JOIN bo ON x = a.gi AND y = b.gi"""
 HEXBINS = f"""WITH {PART_STEPS}, pz AS (SELECT DISTINCT item, g FROM st),
@@ -318,13 +341,15 @@ INFO_NODE = """WITH w AS (SELECT p_size::BIGINT AS len, sum(p_size) OVER (ORDER
 SELECT avg(len) AS avg, max(len) AS max, min(len) AS min, median(len)::DOUBLE AS median, max(len) FILTER (2 * run >= total) AS n50 FROM w"""
 INFO_PATH = f"""WITH {PART_STEPS}, pl AS (SELECT path_id, count(*) AS nodes, sum(len)::BIGINT AS bp FROM st GROUP BY 1)
 SELECT count(*) AS paths, max(bp) AS bp_max, min(bp) AS bp_min, avg(bp) AS bp_avg, max(nodes) AS nodes_max, min(nodes) AS nodes_min, avg(nodes) AS nodes_avg FROM pl"""
-COMPONENTS = f"""WITH RECURSIVE o AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), l AS ({SOURCE}),
-st AS (SELECT l_orderkey AS path_id, pos, l_partkey AS n FROM l JOIN o ON l_orderkey = o_orderkey),
-pr AS (SELECT n, lead(n) OVER (PARTITION BY path_id ORDER BY pos) AS n2 FROM st),
-e AS (SELECT DISTINCT least(n, n2) AS u, greatest(n, n2) AS v FROM pr WHERE n2 IS NOT NULL AND (n + n2) % 13 = 0 AND greatest(n, n2) < least(n, n2) + 40),
-b AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e),
-r AS (SELECT p_partkey AS node_id, p_partkey AS c FROM part UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.node_id)
-SELECT node_id, min(c) AS component FROM r GROUP BY node_id"""
+LINKED = f"""WITH RECURSIVE o AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), l AS ({SOURCE}),
+st AS (SELECT l_orderkey AS path_id, pos, l_partkey AS n, p_brand AS w FROM l JOIN o ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+pr AS (SELECT n, lead(n) OVER p AS n2, w, lead(w) OVER p AS w2 FROM st WINDOW p AS (PARTITION BY path_id ORDER BY pos)),
+e AS (SELECT DISTINCT n, n2 FROM pr WHERE n2 IS NOT NULL AND {{where}}), b AS (SELECT n AS a, n2 AS b FROM e UNION SELECT n2, n FROM e),
+r(node_id, c) USING KEY (node_id) AS (SELECT p_partkey, p_partkey FROM part
+  UNION SELECT b.b, min(r.c) FROM r JOIN b ON b.a = r.node_id JOIN recurring.r AS k ON k.node_id = b.b WHERE r.c < k.c GROUP BY b.b)"""
+COMPONENTS, OF_BRANDS = (LINKED.format(where=w) + " SELECT node_id, c AS component FROM r" for w in ("true", "w = w2"))
+COMPONENT_INFO = f"""WITH s AS (SELECT component, count(*) AS size FROM ({OF_BRANDS}) GROUP BY 1)
+SELECT count(*) AS components, max(size) AS largest, min(size) AS smallest, median(size)::DOUBLE AS median FROM s"""
 ROUNDTRIP = f"""WITH {PART_STEPS}, k AS (SELECT unnest(['P', 'W']) AS kind)
 SELECT kind, g::VARCHAR AS sample, path_id AS o, pos::BIGINT AS pos, item AS part, fwd, len, p::BIGINT AS p FROM st, k"""
 
@@ -337,7 +362,10 @@ ORACLES: dict[str, str] = {
     ) + f" UNION ALL SELECT * FROM ({EDGE_HIST})",
     "hist_urgent": hist_sql("node", where="prio = '1-URGENT'", groups="SELECT count(DISTINCT g) FROM st WHERE prio = '1-URGENT'"),
     "hist_subset": hist_sql("node", where="prio = '1-URGENT'", groups="SELECT count(DISTINCT g) FROM st WHERE prio = '1-URGENT'"),
-    "hist_exclude": hist_sql("node", where="item NOT IN (SELECT item FROM st WHERE prio = '1-URGENT' AND path_id % 50 = 0)", groups="SELECT count(DISTINCT g) FROM st WHERE NOT (prio = '1-URGENT' AND path_id % 50 = 0)"),
+    "hist_exclude": hist_sql("node", where="item NOT IN (SELECT item FROM st WHERE prio = '1-URGENT' AND g = 7)", groups="SELECT count(DISTINCT g) FROM st WHERE NOT (prio = '1-URGENT' AND g = 7)"),
+    "hist_edge_subset": hist_sql("edge", EDGE_MASKS, where="prio = '2-HIGH' AND p2 < 60 AND p2 + len2 > 10", groups="SELECT count(DISTINCT g) FROM st WHERE prio = '2-HIGH'", items=EDGE_ITEMS, rows="ed"),
+    "hist_edge_exclude": hist_sql("edge", EDGE_MASKS, where="item NOT IN (SELECT item FROM ed WHERE prio = '1-URGENT' AND nation = 7)", groups="SELECT count(DISTINCT g) FROM st WHERE NOT (prio = '1-URGENT' AND nation = 7)", items=EDGE_ITEMS, rows="ed"),
+    "hist_bp_exclude": BP_EXCLUDE,
     "hist_bp_interval": BP_INTERVAL,
     "coverage_line": f"SELECT * FROM ({hist_sql('node')}) WHERE coverage > 0",
     "growth_union": growth_sql("union", 1, 0.0),
@@ -355,6 +383,8 @@ ORACLES: dict[str, str] = {
     "info_path": INFO_PATH,
     "info_group": f"WITH {PART_STEPS} SELECT g::VARCHAR AS group_name, count(*) AS nodes, sum(len)::BIGINT AS bp FROM st GROUP BY 1",
     "components": COMPONENTS,
+    "components_of_brands": OF_BRANDS,
+    "component_info": COMPONENT_INFO,
     "gfa_parse_roundtrip": ROUNDTRIP,
     "pansn_parse": PANSN,
     "bed_merge": BED_MERGE,

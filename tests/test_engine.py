@@ -256,7 +256,7 @@ def test_components_of_all_edges_against_brute_force(spark):
         for a, b in zip(path, path[1:]):
             a, b = sorted((top(a), top(b)))
             root[b] = a
-    got = {r.node_id: r.component for r in mapped.QUERIES["components_all"](spark, SMALL).collect()}
+    got = {r.node_id: r.component for r in mapped.QUERIES["components"](spark, SMALL).collect()}
     assert got == {n: top(n) for n in sizes}
 
 
@@ -272,7 +272,7 @@ def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
     sets, weigh = list(parts.values()), lambda items: sum(sizes[n] for n in items)
     want = np.array([[weigh(a & b) / weigh(a | b) for b in sets] for a in sets])
     got = np.full(want.shape, -1.0)
-    for r in mapped.QUERIES["similarity_all"](spark, SMALL).collect():
+    for r in mapped.QUERIES["similarity"](spark, SMALL).collect():
         got[r.x, r.y] = r.value
     assert np.abs(got - want).max() < 1e-6
     order = [r.group_idx for r in mapped.QUERIES["cluster_order"](spark, SMALL).orderBy("place").collect()]
