@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
         p = graph(name)
         thresholds(p)
         p.add_argument("-a", "--hist", action="store_true")
+        p.add_argument("--by-quorum", action="store_true", help="columns in the order of quorum, then coverage")
     graph("info", count=False)
     p = graph("ordered-histgrowth")
     thresholds(p)
@@ -46,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     p = graph("table")
     p.add_argument("-a", "--total", action="store_true")
     p.add_argument("-O", "--order")
+    p.add_argument("-w", "--write", help="a folder that Spark writes the table to, at any size")
     p = graph("node-distribution", count=False)
     p.add_argument("-r", "--radius", type=int, default=20)
     p = graph("similarity")
@@ -64,8 +66,8 @@ def analysis(a: argparse.Namespace) -> object:
     count = Count(getattr(a, "count", "node"))
     return {
         "hist": lambda: an.Hist(count),
-        "growth": lambda: an.Growth(a.coverage, a.quorum, a.hist, count),
-        "histgrowth": lambda: an.Growth(a.coverage, a.quorum, True, count),
+        "growth": lambda: an.Growth(a.coverage, a.quorum, a.hist, count, a.by_quorum),
+        "histgrowth": lambda: an.Growth(a.coverage, a.quorum, True, count, a.by_quorum),
         "info": an.Info,
         "ordered-histgrowth": lambda: an.OrderedGrowth(a.coverage, a.quorum, a.order, count),
         "table": lambda: an.Table(count, a.total, a.order),
@@ -102,9 +104,13 @@ def main(argv: list[str] | None = None, spark=None) -> str:
     if a.command in ("growth", "histgrowth") and a.graph.endswith("tsv"):
         if a.subset or a.exclude or a.groupby or a.groupby_haplotype or a.groupby_sample:
             raise SystemExit("a histogram table takes no graph options")
-        return head + an.Growth.of_file(spark, a.graph, a.coverage, a.quorum, a.hist or a.command == "histgrowth")
+        return head + an.Growth.of_file(spark, a.graph, a.coverage, a.quorum, a.hist or a.command == "histgrowth", a.by_quorum)
     run = Run(a.graph, subset=a.subset, exclude=a.exclude, grouping=Grouping.of(a.groupby_sample, a.groupby_haplotype, a.groupby))
-    return head + analysis(a).table(an.State(spark, run))
+    state = an.State(spark, run)
+    if a.command == "table" and a.write:
+        analysis(a).write(state, a.write)
+        return head
+    return head + analysis(a).table(state)
 
 
 if __name__ == "__main__":

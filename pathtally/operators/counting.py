@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..model import Grouping
 from ..sources import tables
-from ..sources.graph import Graph, GraphError
+from ..sources.graph import Graph, GraphError, with_next
 
 END = tables.OPEN_END
 
@@ -79,6 +79,12 @@ def expand_groups(coords: DataFrame, grouped: DataFrame) -> DataFrame:
     return direct.select("rank", "id", "start", "end", "display").unionByName(via)
 
 
+def unknown_names(coords: DataFrame, grouped: DataFrame, most: int = 20) -> list[str]:
+    """Up to ``most`` entries of a list that name neither a path nor a group; these are passed over."""
+    known = grouped.select("id").union(grouped.select(F.col("group_name").alias("id"))).distinct()
+    return [r["id"] for r in coords.select("id").distinct().join(known, "id", "left_anti").orderBy("id").limit(most).collect()]
+
+
 def group_order(grouped: DataFrame, source: DataFrame | None, excluded: DataFrame | None = None) -> DataFrame:
     """group_name, group_idx: groups by the first mention of a path of theirs.
 
@@ -98,9 +104,12 @@ def group_order(grouped: DataFrame, source: DataFrame | None, excluded: DataFram
 def check_order(grouped: DataFrame, order: DataFrame) -> list[str]:
     """Groups whose paths the order list does not keep together; an error if there are any."""
     rows = order.join(grouped.select("id", "group_name").distinct(), "id").select("rank", "group_name")
-    w = Window.orderBy("rank")
-    runs = rows.withColumn("new", F.col("group_name") != F.coalesce(F.lag("group_name").over(w), F.lit("\0"))).where("new")
-    broken = [r["group_name"] for r in runs.groupBy("group_name").count().where("count > 1").collect()]
+    # groups are kept together if their ranges of places do not overlap: one row a group is compared
+    spans = rows.groupBy("group_name").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    w = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.max(F.struct("high", "group_name")).over(w)).where(F.col("before.high") > F.col("low"))
+    # a group that another one stands inside is the parted one
+    broken = {r["group_name"] for r in spans.select(F.col("before.group_name").alias("group_name")).distinct().collect()}
     if broken:
         raise GraphError(f"the order parts the paths of {', '.join(sorted(broken))}")
     return broken
@@ -172,8 +181,7 @@ class Counted:
     @cached_property
     def links(self) -> DataFrame:
         """Consecutive steps as edges, placed on their second node."""
-        w = Window.partitionBy("path_id").orderBy("pos")
-        rows = self.placed.withColumn("next", F.lead(F.struct("node_id", "fwd", "len", "p")).over(w)).where("next is not null")
+        rows = with_next(self.placed, ["node_id", "fwd", "len", "p"])
         edge = names.canonical_edge(F.col("node_id"), F.col("fwd"), F.col("next.node_id"), F.col("next.fwd"))
         rows = rows.select("path_id", "pos", "id", "group_idx", edge.alias("e"), F.col("next.p").alias("p"), F.col("next.len").alias("len"))
         rows = rows.select("*", "e.*").drop("e")
@@ -250,6 +258,8 @@ class Counted:
         """count, coverage 0..G, n."""
         spark = self.graph.nodes.sparkSession
         cov = self.coverage(measure)
+        beyond = F.raise_error(F.concat(F.lit("an item has more groups than there are: "), F.col("item").cast("string")))
+        cov = cov.withColumn("cov", F.when(F.col("cov") > self.n_groups, beyond).otherwise(F.col("cov")))
         rows = cov.groupBy(F.col("cov").alias("coverage")).agg(F.sum("weight").alias("n"), F.sum("uncovered").alias("left_out"))
         rows = rows.select("coverage", "n").union(rows.select(F.lit(0).alias("coverage"), F.col("left_out").alias("n")))
         rows = rows.groupBy("coverage").agg(F.sum("n").alias("n"))

@@ -16,28 +16,29 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(each, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, every: int = 3) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, component (its smallest node), by least labels and pointer jumping.
 
-    Lineage is cut by a checkpoint every few rounds, in the folder of ``spark.checkpoint.dir``; where
-    none is set, as on one machine, a temporary one is.
+    Each round is checkpointed in the folder of ``spark.checkpoint.dir``, so plans stay small, lost
+    executors cost a round at most, and nothing is kept in memory; where no folder is set, a temporary
+    one is if the master is local.
     """
     spark = nodes.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pathtally-')}")
-    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct().persist()
-    labels = nodes.select("node_id", F.col("node_id").alias("component"))
-    k = 0
+    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct().checkpoint()
+    # the first round needs no labels: a node's own number and the least of those beside it
+    near = both.groupBy(F.col("a").alias("node_id")).agg(F.min("b").alias("near"))
+    labels = nodes.select("node_id").join(near, "node_id", "left").select("node_id", F.least("node_id", F.coalesce("near", "node_id")).alias("component")).checkpoint()
     while True:
-        k += 1
         near = both.join(labels.withColumnRenamed("node_id", "b"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         far = labels.select(F.col("node_id").alias("low"), F.col("component").alias("far"))
-        step = low.join(far, "low").select("node_id", F.least("low", "far").alias("new"), "component")
-        step = step.checkpoint() if k % every == 0 else step.persist()
+        step = low.join(far, "low").select("node_id", F.least("low", "far").alias("new"), "component").checkpoint()
         labels = step.select("node_id", F.col("new").alias("component"))
         if not step.where("new < component").take(1):
-            both.unpersist()
             return labels
 
 

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Linkage
 
 
+def shared_weights(sets: DataFrame, n: int) -> DataFrame:
+    """x, y, shared: summed weights of the sets (weight, groups) that hold both groups.
+
+    A task adds up one matrix of n by n and returns what is not zero, so a set of k groups costs no
+    k * k rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                lists = part.column(1)
+                member = np.zeros((part.num_rows, n))
+                member[np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+                total += member.T @ (member * part.column(0).to_numpy()[:, None])
+        x, y = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[x, y].astype(np.int64))], names=["x", "y", "shared"])
+
+    return sets.select(F.col("weight").cast("long"), F.col("groups").cast("array<int>")).mapInArrow(run, "x int, y int, shared long").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
+
+
 def jaccard(presence: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """x, y, value for all pairs of the n groups.
 
@@ -17,8 +42,7 @@ def jaccard(presence: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """
     sets = presence.groupBy("item").agg(F.sort_array(F.collect_set("group_idx")).alias("groups"))  # at most n
     weights = sets.join(items.select("item", "weight"), "item").groupBy("groups").agg(F.sum("weight").alias("weight"))
-    pairs = weights.select("weight", "groups", F.explode("groups").alias("x")).select("weight", "x", F.explode("groups").alias("y"))
-    both = pairs.groupBy("x", "y").agg(F.sum("weight").alias("shared"))
+    both = shared_weights(weights, n)
     own = both.where("x = y")
     spark = presence.sparkSession
     grid = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("x"), (F.col("id") % n).cast("int").alias("y"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Protocol
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..model import Count, Linkage, Run, pairs_of
 from ..operators import growth, info, similarity
-from ..operators.counting import Counted, load_coords
+from ..operators.counting import Counted, load_coords, unknown_names
 from ..sources import graph as graphs
 from ..sources import tables
 
@@ -31,13 +32,17 @@ class State:
 
     def counted(self, order: str | None = None) -> Counted:
         r, paths = self.run, self.graph.paths
-        return Counted(
+        out = Counted(
             self.graph, r.grouping,
             include=load_coords(self.spark, r.subset, paths) if r.subset else None,
             exclude=load_coords(self.spark, r.exclude, paths) if r.exclude else None,
             groups=tables.read_groups(self.spark, r.grouping.file) if r.grouping.file else None,
             order=load_coords(self.spark, order, paths) if order else None,
         )
+        for what, given in (("subset", out.include), ("exclusion", out.exclude), ("order", out.order)):
+            for name in unknown_names(given, out.grouped) if given is not None else ():
+                logging.getLogger("pathtally").warning("%s: %s is no path or group of the graph and is passed over", what, name)
+        return out
 
     @cached_property
     def base(self) -> Counted:
@@ -103,7 +108,8 @@ class CoverageLine:
         return out
 
 
-def growth_text(hists: dict[str, list[int]], coverage: str, quorum: str, add_hist: bool) -> tuple[str, dict[str, list[list[float]]]]:
+def growth_text(hists: dict[str, list[int]], coverage: str, quorum: str, add_hist: bool, by_quorum: bool = False) -> tuple[str, dict[str, list[list[float]]]]:
+    """The growth table and the curves; ``by_quorum``: columns in the order of quorum, then coverage."""
     pairs = pairs_of(coverage, quorum)
     heads = [["panel"], ["count"], ["coverage"], ["quorum"]]
     columns, curves = [], {}
@@ -113,7 +119,7 @@ def growth_text(hists: dict[str, list[int]], coverage: str, quorum: str, add_his
                 head.append(x)
             columns.append(h)
     for m, h in hists.items():
-        for c, q in pairs:
+        for c, q in sorted(pairs, key=lambda x: (x[1].value, x[0].value)) if by_quorum else pairs:
             for head, x in zip(heads, ("growth", m, f"{c.value:g}", f"{q.value:g}"), strict=True):
                 head.append(x)
             curve = growth.growth(h, c, q)
@@ -128,6 +134,7 @@ class Growth:
     quorum: str = "0"
     add_hist: bool = False
     count: Count = Count.NODE
+    by_quorum: bool = False
 
     def needs(self) -> set[str]:
         return {"hist", *self.count.measures}
@@ -136,15 +143,15 @@ class Growth:
         return {m: state.hist(m) for m in self.count.measures}
 
     def table(self, state: State) -> str:
-        return growth_text(self.hists(state), self.coverage, self.quorum, self.add_hist)[0]
+        return growth_text(self.hists(state), self.coverage, self.quorum, self.add_hist, self.by_quorum)[0]
 
     @staticmethod
-    def of_file(spark: SparkSession, path: str, coverage: str = "1", quorum: str = "0", add_hist: bool = False) -> str:
+    def of_file(spark: SparkSession, path: str, coverage: str = "1", quorum: str = "0", add_hist: bool = False, by_quorum: bool = False) -> str:
         """Growth from a histogram table, without a graph."""
         hists: dict[str, dict[int, int]] = {}
         for r in tables.read_hist(spark, path).collect():
             hists.setdefault(r["count"], {})[r["coverage"]] = r["n"]
-        return growth_text({m: [h.get(i, 0) for i in range(max(h) + 1)] for m, h in hists.items()}, coverage, quorum, add_hist)[0]
+        return growth_text({m: [h.get(i, 0) for i in range(max(h) + 1)] for m, h in hists.items()}, coverage, quorum, add_hist, by_quorum)[0]
 
     def section(self, state: State) -> list[dict]:
         text, curves = growth_text(self.hists(state), self.coverage, self.quorum, self.add_hist)
@@ -220,8 +227,11 @@ class Table:
         rows = ["\t".join(map(str, r)) for r in df.toLocalIterator()]
         return "\n".join(["\t".join([self.count.value, *df.columns[1:]]), *rows]) + "\n"
 
-    def section(self, state: State) -> list[dict]:
-        return []
+    def section(self, state: State, most: int = 1000) -> list[dict]:
+        """The first rows, by item; the whole table is what ``write`` is for."""
+        df = self.frame(state).orderBy("item").drop("item")
+        rows = [[str(v) for v in r] for r in df.limit(most).collect()]
+        return [{"title": f"table ({self.count.value})", "items": [{"kind": "table", "header": [self.count.value, *df.columns[1:]], "values": rows}], "table": ""}]
 
 
 @dataclass
@@ -260,16 +270,31 @@ class NodeDistribution:
     def needs(self) -> set[str]:
         return {"node"}
 
+    def coverage(self, state: State):
+        return state.base.coverage("node").join(state.graph.nodes.select(F.col("node_id").alias("item"), "len", "name"), "item")
+
     def bins(self, state: State) -> list:
-        cov = state.base.coverage("node").join(state.graph.nodes.select(F.col("node_id").alias("item"), "len"), "item")
-        return info.hexbins(cov, *self.lattice).orderBy("x", "y").collect()  # at most the lattice
+        return info.hexbins(self.coverage(state), *self.lattice).orderBy("x", "y").collect()  # at most the lattice
+
+    def nodes(self, state: State, most: int = 100_000) -> list[list[str]] | None:
+        """Names of the nodes of each bin, for a page; graphs of more than ``most`` nodes use ``write_nodes``."""
+        if state.graph.nodes.count() > most:
+            return None
+        bins = info.hexbin_nodes(self.coverage(state), *self.lattice).join(state.graph.nodes.select(F.col("node_id").alias("item"), "name"), "item")
+        rows = bins.groupBy(F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+        return [r.names for r in rows.orderBy("x", "y").collect()]
+
+    def write_nodes(self, state: State, path: str) -> None:
+        """name, x, y of every node, written by Spark."""
+        bins = info.hexbin_nodes(self.coverage(state), *self.lattice).join(state.graph.nodes.select(F.col("node_id").alias("item"), "name"), "item")
+        bins.select("name", "x", "y").write.mode("overwrite").csv(path, sep="\t", header=True)
 
     def table(self, state: State) -> str:
         rows = [f"{k}\t{b.x:g}\t{b.y:g}\t{np.log10(b['size']):g}" for k, b in enumerate(self.bins(state))]
         return "\n".join(["Bin\tCoverage\tLog-Length\tLog-Size", *rows]) + "\n"
 
     def section(self, state: State) -> list[dict]:
-        return [{"title": "nodes by coverage and length", "items": [{"kind": "hexbin", "id": "nodes", "bins": [[b.x, b.y, b["size"]] for b in self.bins(state)]}], "table": self.table(state)}]
+        return [{"title": "nodes by coverage and length", "items": [{"kind": "hexbin", "id": "nodes", "bins": [[b.x, b.y, b["size"]] for b in self.bins(state)], "nodes": self.nodes(state)}], "table": self.table(state)}]
 
 
 @dataclass
@@ -344,4 +369,5 @@ def execute(spark: SparkSession, runs: list[Run]) -> tuple[str, list[dict]]:
             for s in a.section(state):
                 sections.append({"run": run.run_name(), "run_id": run.run_id(), "analysis": type(a).__name__, **s})
             text = a.table(state)
+        state.graph.unpersist()
     return text, sections

@@ -88,7 +88,7 @@ def link_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
     there = F.concat_ws("\t", F.lit("L"), name("u"), sign(F.col("u_fwd")), name("v"), sign(F.col("v_fwd")), F.lit("0M"))
     back = F.concat_ws("\t", F.lit("L"), name("v"), sign(~F.col("v_fwd")), name("u"), sign(~F.col("u_fwd")), F.lit("0M"))
-    return s.union(ranked(g.edges, "edge_id", there, 1)).union(ranked(g.edges, "edge_id", back, 2))
+    return s.union(ranked(g.edges, "u", there, 1)).union(ranked(g.edges, "v", back, 2))
 
 
 def gfa_links(spark: SparkSession, sf_dir: str) -> DataFrame:

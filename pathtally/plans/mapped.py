@@ -51,7 +51,8 @@ def mapped_graph(spark: SparkSession, sf_dir: str, suppliers: bool = False, urge
     pair = Window.partitionBy("path_id").orderBy("pos")
     nxt = steps.select("node_id", "fwd", F.lead("node_id").over(pair).alias("v"), F.lead("fwd").over(pair).alias("v_fwd")).where("v is not null")
     edges = nxt.select(names.canonical_edge(F.col("node_id"), F.col("fwd"), F.col("v"), F.col("v_fwd")).alias("e")).distinct()
-    edges = edges.select(F.xxhash64("e").alias("edge_id"), "e.*")
+    # the label tells edges apart for sure, which a hash would not
+    edges = edges.select("e.*").select(names.edge_label(F.col("u"), F.col("u_fwd"), F.col("v"), F.col("v_fwd")).alias("edge_id"), "*")
     return Graph(nodes, edges, paths, steps)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..model import Threshold
 
 OPEN_END = (1 << 63) - 1
 
@@ -93,6 +94,28 @@ def read_hist(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(long, "count string, coverage int, n long")
 
 
+def read_thresholds(spark: SparkSession, path: str) -> list[Threshold]:
+    """Thresholds of a file, one a line in the first column: whole numbers of groups, else shares."""
+    out = []
+    for n, r in enumerate(text_rows(spark, path).orderBy("rank").collect(), 1):
+        word = r.value.split("\t")[0]
+        try:
+            out.append(Threshold(int(word)) if word.isdigit() else Threshold(float(word), True))
+        except ValueError:
+            raise ValueError(f"threshold {word!r} in line {n} is no number") from None
+    return out
+
+
+def write_presence(presence: DataFrame, path: str) -> None:
+    """The sparse matrix of items and groups as rows (item, group_idx, visits), written by Spark."""
+    presence.select("item", "group_idx", "visits").write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def hist_text(count: str, values: list[int]) -> str:
+    """A single histogram: a head of two cells, then a line a coverage."""
+    return "\n".join([f"hist\t{count}", *(f"{k}\t{v}" for k, v in enumerate(values))]) + "\n"
+
+
 def metadata(argv: list[str], version: str) -> str:
     return f"# {' '.join(argv)}\n# version {version}\n"
 

@@ -8,9 +8,9 @@ from pathtally.cli import main
 from pathtally.functions import names
 from pathtally.model import Grouping, Linkage, Threshold, pairs_of
 from pathtally.operators import growth, info, similarity
-from pathtally.operators.counting import Counted, merge_intervals
-from pathtally.plans import config, report
-from pathtally.sources import tables
+from pathtally.operators.counting import Counted, check_order, merge_intervals, subtract_intervals
+from pathtally.plans import charts, config, report
+from pathtally.sources import graph, tables
 from pathtally.sources.graph import GraphError, check_nodes, parse_nodes, read_graph
 
 WALKS = """H\tVN:Z:1.0
@@ -91,6 +91,7 @@ def test_names(spark):
 
 def test_growth_values():
     one, all_ = pairs_of("1", "0")[0], pairs_of("1", "1")[0]
+    # fixed values: known histograms and their growth
     assert growth.growth([0, 5, 3, 2], *one) == pytest.approx([17 / 3, 25 / 3, 10])
     assert growth.growth([0, 5, 3, 2], *all_) == pytest.approx([17 / 3, 3, 2])
     want = [11.888889, 7.027778, 4.761905, 3.444444, 2.595238, 2, 1.555556, 1.222222, 1]
@@ -142,10 +143,98 @@ def test_clusters_keep_close_rows_together(method):
     assert sorted(order) == [0, 1, 2, 3] and abs(order.index(0) - order.index(2)) == 1
 
 
-def test_intervals_merge(spark):
-    rows = [(0, 5, 6), (0, 9, 10), (0, 7, 8), (0, 4, 5), (1, 0, 11), (1, 3, 4), (1, 14, 17), (1, 11, 14)]
-    got = merge_intervals(spark.createDataFrame(rows, "key int, start long, end long"), ["key"]).collect()
-    assert sorted((r.key, r.start, r.end) for r in got) == [(0, 4, 6), (0, 7, 8), (0, 9, 10), (1, 0, 17)]
+def bitmap_runs(intervals):
+    """Maximal runs of covered places; intervals that only touch leave no gap."""
+    covered = {x for a, b in intervals for x in range(a, b)}
+    starts = sorted(x for x in covered if x - 1 not in covered)
+    return [(x, next(y for y in range(x, 10**6) if y not in covered)) for x in starts]
+
+
+def test_intervals_merge_and_subtract_against_bitmaps(spark):
+    r = random.Random(31)
+    draw = lambda n: [(a, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(n))]
+    own, less = ({k: draw(r.randrange(1, 9)) for k in range(12)} for _ in range(2))
+    del less[3], less[7]
+    frame = lambda x: spark.createDataFrame([(k, *i) for k, v in x.items() for i in v], "key int, start long, end long")
+    got = {}
+    for x in merge_intervals(frame(own), ["key"]).collect():
+        got.setdefault(x.key, []).append((x.start, x.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: bitmap_runs(v) for k, v in own.items()}
+    left = {x.key: x.covered for x in subtract_intervals(frame(own), frame(less), ["key"]).collect()}
+    places = lambda v: {x for a, b in v for x in range(a, b)}
+    assert left == {k: len(places(v) - places(less.get(k, []))) for k, v in own.items()}
+
+
+def test_offsets_and_followers_over_blocks(spark):
+    r = random.Random(12)
+    paths = {k: [r.randrange(1, 9) for _ in range(n)] for k, n in enumerate((1, 3, 4, 5, 8, 13))}
+    steps = spark.createDataFrame([(k, i, z) for k, v in paths.items() for i, z in enumerate(v)], "path_id int, pos int, len long")
+    got = {(x.path_id, x.pos): x.p for x in graph.with_offsets(steps, block=4).collect()}
+    assert got == {(k, i): sum(v[:i]) for k, v in paths.items() for i in range(len(v))}
+    got = {(x.path_id, x.pos): (x.next.pos, x.next.len) for x in graph.with_next(steps, ["pos", "len"], block=4).collect()}
+    assert got == {(k, i): (i + 1, v[i + 1]) for k, v in paths.items() for i in range(len(v) - 1)}
+
+
+# Graphs of the same shape as known ones, with the values that are known for them.
+
+
+def bubbles(spark, tmp_path):
+    """A chain of four two-way bubbles and links; one sample in five pieces, one whole."""
+    lens = [8, 1, 1, 1, 1, 3, 1, 1, 19, 1, 1, 4, 1, 1, 11]
+    name = lambda k: "u" + "abcdefghijklmno"[k - 1]
+    links = [(1, 2), (1, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 6), (5, 6)]
+    for k in (6, 9, 12):
+        links += [(k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3)]
+    walk = [1, 3, 5, 6, 8, 9, 11, 12, 14, 15]
+    pieces = [walk[:2], walk[2:5], walk[5:8], walk[8:9], walk[9:]]
+    lines = [f"S\t{name(k)}\t{'ACGT'[k % 4] * z}" for k, z in enumerate(lens, 1)] + [f"L\t{name(a)}\t+\t{name(b)}\t+\t0M" for a, b in links]
+    lines += [f"P\ty#{k}\t{','.join(name(n) + '+' for n in p)}\t*" for k, p in enumerate([*pieces], 1)] + [f"P\tx\t{','.join(name(n) + '+' for n in walk)}\t*"]
+    path = tmp_path / "bubbles.gfa"
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_known_values_of_bubbles(spark, tmp_path):
+    path = bubbles(spark, tmp_path)
+    g = read_graph(spark, path)
+    by_sample, by_path = Counted(g, Grouping("sample")), Counted(g)
+    # fixed values: known histograms and group rows
+    assert dense(by_sample.hist("node")) == [5, 0, 10] and dense(by_sample.hist("bp")) == [5, 0, 50] and dense(by_sample.hist("edge")) == [11, 4, 5]
+    assert dense(by_path.hist("node"))[:3] == [5, 0, 10]
+    rows = main(["info", path, "-S"], spark).split("\n")
+    assert {"group\tx\tbp\t50", "group\tx\tnode\t10", "group\ty\tbp\t50", "group\ty\tnode\t10"} <= set(rows)
+    assert {"graph\ttotal\tcomponent\t1", "graph\tlargest\tcomponent\t15"} <= set(rows)
+    g.unpersist()
+
+
+def test_known_values_of_a_compacted_graph(spark, tmp_path):
+    """Five segments that overlap, links given twice and flipped, a link of a segment to itself."""
+    names_ = dict(zip(range(1, 6), ("one", "two", "three", "four", "five"), strict=True))
+    lens = {1: 5, 2: 7, 3: 5, 4: 7, 5: 5}
+    there = [(1, 2), (1, 4), (2, 3), (2, 5), (4, 3), (4, 5)]
+    lines = [f"S\t{names_[k]}\t{'G' * z}" for k, z in lens.items()]
+    for a, b in there:
+        lines += [f"L\t{names_[a]}\t+\t{names_[b]}\t+\t3M", f"L\t{names_[b]}\t-\t{names_[a]}\t-\t3M"]
+    lines.append("L\tthree\t+\tthree\t-\t3M")
+    walks = [("a", 1, 1, (1, 2, 3)), ("b", 1, 1, (1, 2, 3)), ("c", 1, 1, (1, 2, 3)), ("c", 1, 2, (1, 2)), ("c", 2, 1, (1, 4, 3)), ("d", 1, 1, (1, 4, 5))]
+    lines += [f"P\t{s}#{h}#part{q}\t{','.join(names_[n] + '+' for n in p)}\t*" for s, h, q, p in walks]
+    path = tmp_path / "compacted.gfa"
+    path.write_text("\n".join(lines) + "\n")
+    g = read_graph(spark, str(path))
+    # fixed values: distinct links, nodes by path, nodes by sample, numbers of groups
+    assert g.edges.count() == 7
+    cover = {r["item"]: r["cov"] for r in Counted(g).coverage("node").collect()}
+    assert [cover[k] for k in range(1, 6)] == [6, 4, 4, 2, 1]
+    assert dense(Counted(g, Grouping("sample")).hist("node")) == [0, 1, 1, 2, 1]
+    assert Counted(g, Grouping("sample")).n_groups == 4 and Counted(g, Grouping("haplotype")).n_groups == 5
+    g.unpersist()
+
+
+def test_known_growth_of_four_samples():
+    # fixed values: the histogram of four samples and the growth that is known for it
+    hist = [0, 39, 29, 41, 45]
+    for pair, want in ((("1", "0"), [100, 129.667, 144.25, 154]), (("1", "1"), [100, 70.333, 55.25, 45]), (("1", "0.5"), [100, 129.667, 100.5, 115])):
+        assert growth.growth(hist, *pairs_of(*pair)[0]) == pytest.approx(want, abs=1e-3)
 
 
 def test_masks_against_brute_force(spark, tmp_path):
@@ -207,6 +296,65 @@ def test_command_line_and_report(spark, walks, tmp_path):
     assert config.grouping_of("Haplotype") == Grouping("haplotype")
 
 
+def test_report_draws_its_charts(spark, walks, tmp_path):
+    hist = {"kind": "bar", "id": "h", "labels": [0, 1, 2], "values": [0, 5, 5000], "log_toggle": True}
+    hexes = {"kind": "hexbin", "id": "h", "bins": [[0, 0, 1], [2, 1.5, 30]], "nodes": [["a"], ["b</script>", "c"]]}
+    table = {"kind": "table", "header": ["a", "b"], "values": [["x", "1"], ["x", "2"], ["y", "2"]]}
+    page = report.to_html([{"title": "t", "items": [hist, hexes, table], "table": ""}])
+    assert page.count("<svg") == 3 and page.count("<rect") == 3 + 2 and page.count("<polygon") == 2  # zero has no bar on a logarithmic axis
+    assert 'id="h-log" hidden' in page and 'id="h-2"' in page and "</script>\"" not in page and "Download as png" in page
+    assert "<td>x</td><td>1</td></tr><tr><td></td><td>2</td>" in page
+    assert report.unrepeated([["a", "b"], ["a", "b"], ["c", "b"]]) == [["a", "b"], ["", ""], ["c", "b"]]
+    assert [charts.humanize(x) for x in (0, 999, 1234, 5_600_000)] == ["0", "999", "1K", "6M"]
+    for item in ({"kind": "line", "id": "l", "x": [0, 1], "y": [0, 0], "log_x": True, "log_y": True}, {"kind": "multibar", "id": "m", "names": ["p"], "labels": [], "values": [[]]}, {"kind": "heatmap", "id": "e", "x": [], "y": [], "values": []}, {"kind": "hexbin", "id": "x", "bins": []}):
+        assert charts.chart(item).startswith("<svg")
+
+
+def test_written_tables_and_thresholds(spark, walks, tmp_path):
+    main(["table", walks, "-S", "-w", str(tmp_path / "t")], spark)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
+    assert "name\tx\ty\n" in text and "b\t3\t1\n" in text
+    (tmp_path / "th").write_text("3\tx\n0.5\n")
+    assert tables.read_thresholds(spark, str(tmp_path / "th")) == [Threshold(3), Threshold(0.5, True)]
+    (tmp_path / "th").write_text("many\n")
+    with pytest.raises(ValueError):
+        tables.read_thresholds(spark, str(tmp_path / "th"))
+    assert tables.hist_text("node", [1, 2]) == "hist\tnode\n0\t1\n1\t2\n"
+    c = Counted(read_graph(spark, walks), Grouping("sample"))
+    tables.write_presence(c.presence("node"), str(tmp_path / "p"))
+    assert sum(len(p.read_text().split("\n")) - 2 for p in (tmp_path / "p").glob("part-*") if p.read_text()) == c.presence("node").count()
+    (tmp_path / "h.tsv").write_text("panel\thist\ncount\tnode\n0\t1\n1\t10\n2\t4\n")
+    rows = main(["growth", str(tmp_path / "h.tsv"), "-l", "1,1", "-q", "1,0", "--by-quorum"], spark).rstrip().split("\n")
+    assert next(r for r in rows if r.startswith("quorum")) == "quorum\t0\t1"
+
+
+def test_orders_that_part_groups_and_unknown_names(spark, walks, tmp_path, caplog):
+    g = read_graph(spark, walks)
+    c = Counted(g, Grouping("sample"))
+    frame = lambda ids: spark.createDataFrame([((0, k), i) for k, i in enumerate(ids)], "rank struct<block:long,n:long>, id string")
+    assert not check_order(c.grouped, frame(["y#1#chr", "y#1#chr2", "x#2", "x#1#one"]))
+    with pytest.raises(GraphError, match="paths of x"):
+        check_order(c.grouped, frame(["x#2", "y#1#chr", "x#1#one", "y#1#chr2"]))
+    (tmp_path / "s").write_text("x\nnobody#1\n")
+    with caplog.at_level("WARNING", "pathtally"):
+        assert "1\t3" in main(["hist", walks, "-S", "-s", str(tmp_path / "s")], spark)
+    assert "nobody#1" in caplog.text and "x is no path" not in caplog.text
+
+
+def test_bars_of_groups():
+    assert info.rebin({"b": 2, "a": 1}) == [("a", 1), ("b", 2)]
+    many = info.rebin({str(k): float(k) for k in range(200)})
+    assert len(many) == 50 and sum(n for _, n in many) == 200 and many[0][0] == "0-3.98"
+
+
+def test_codes_of_kmers(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(names.code_reverse_complement(names.kmer_code(F.lit("GATTACA")), 7).alias("c"), names.canonical_code(names.kmer_code(F.lit("TTT")), 3).alias("d"))
+    row = row.select(names.kmer_text(F.col("c"), 7).alias("c"), names.kmer_text(F.col("d"), 3).alias("d")).first()
+    assert tuple(row) == ("TGTAATC", "AAA")
+
+
 def test_duplicate_nodes(spark):
     lines = spark.createDataFrame([("S\ta\tAC", 0), ("S\tb\tA", 1)], "value string, rank long")
     check_nodes(parse_nodes(lines))
