@@ -2,7 +2,11 @@
 
 ``STAGES``: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that
 is written as Parquet and read as the next one's docs. All but the last return the columns of
-documents. No stage is expressible in SQL as a whole (a trained network, a tokenizer).
+documents, whatever further columns there are. No stage is expressible in SQL as a whole (a trained
+network, a tokenizer).
+
+Null texts and empty texts go through all stages; rows with a null id are kept by near-dedup and lose
+no lines; repeated rows share one fate, so all of them stay or go. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One document of each group whose sets of five-word shingles overlap by 0.8 or more."""
     common.small_batches(spark)
     found = superminhash.near_duplicates(docs, size=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    (name,) = common.fresh(docs.columns, "gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
