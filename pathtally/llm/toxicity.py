@@ -47,7 +47,8 @@ LONG, OVERLAP = 24, 8
 LEAST_DOCS = 3
 #: Standard errors beyond which a word's odds are certain.
 LEAST_Z = 2.5
-CHAR_ROUNDS, ROUNDS = 14, 8
+#: Rounds over the words and over the windows; small samples take more, up to MOST times as many.
+CHAR_ROUNDS, ROUNDS, MOST = 14, 8, 6
 CACHE = 60_000
 BATCH = 2048
 THRESHOLD = 0.7
@@ -338,13 +339,18 @@ def balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
 
 
+def rounds(least: int, usual: int, n: int) -> int:
+    """Rounds over n examples: ``least`` from ``usual`` examples on."""
+    return int(least * min(MOST, max(1, usual / max(1, n))))
+
+
 def spelling_lessons(unit: Unit, words: list[str], alarming: np.ndarray, r: np.random.Generator) -> Iterator[dict]:
     """Gradients of the character reader over distinct words, batches of like lengths."""
     weight = balanced(alarming)
     buckets, starts = spelling(words)
     by_length = np.argsort(np.diff(starts), kind="stable")
     batches = [by_length[k : k + 256] for k in range(0, len(by_length), 256)]
-    for _ in range(CHAR_ROUNDS):
+    for _ in range(rounds(CHAR_ROUNDS, 30_000, len(words))):
         for k in r.permutation(len(batches)):
             own = batches[k]
             ids = spelt_rows(buckets, starts, own)
@@ -406,8 +412,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return np.concatenate([words.logits(words.reader.read(tables, ids[k : k + BATCH])) for k in range(0, len(ids), BATCH)])
 
     def lessons() -> Iterator[dict]:
-        parts = np.array_split(r.permutation(len(good)), min(len(good), ROUNDS // 2))
-        for turn in range(ROUNDS):
+        parts = np.array_split(r.permutation(len(good)), max(1, min(len(good) // 2000, ROUNDS // 2)))
+        for turn in range(rounds(ROUNDS, 40_000, len(good))):
             some = []
             for f, s in zip(toxics, np.split(scored(np.concatenate(toxics), turn), np.cumsum([len(f) for f in toxics])[:-1]), strict=True):
                 # the highest window, and others that look toxic by now

@@ -544,6 +544,60 @@ def test_nearest_by_deep_and_salted_leaves(spark, monkeypatch):
     assert forest.deep > 0 and sorted(forest.search(v[0], 10**9)) == [(t, n) for t in range(4) for n in range(1 << forest.depth)]
 
 
+def write_tables(spark, folder, rows, labels, items):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, gone string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Each stage on the rows before it: what must go goes, everything else stays as it is."""
+    import corpus_pipeline
+
+    clean = sentences(21, 60, 40, 90)
+    row = lambda i, t: (i, t, "en", "s", len(t) if t is not None else None, "g")
+    rows = [row(i, t) for i, t in enumerate(clean)]
+    r = random.Random(2)
+    for i in range(100, 160):  # toxic documents and others, for the labels
+        w = sentences(i, 1, 30, 60)[0].split()
+        for _ in range(4 if i % 2 else 0):
+            w.insert(r.randrange(len(w)), r.choice(["moron", "scum", "idiot"]))
+        rows.append(row(i, " ".join(w)))
+    near = clean[3].split()
+    near[7] = "other"
+    item = sentences(77, 1, 30, 31)[0]
+    rows += [row(200, clean[2]), row(201, " ".join(near)), row(202, f"{sentences(78, 1, 30, 31)[0]} {item} end")]
+    rows += [row(None, "a null id speaks here of many things"), row(300, None), row(301, ""), row(302, " \n "), row(303, "one line of words here\none line of words here\nand another one of them"), row(304, "twice the same row with some words"), row(304, "twice the same row with some words")]
+    folder = f"file://{tmp_path}/in"
+    write_tables(spark, folder, rows, [(i, i % 2, 1) for i in range(100, 160)] + [(i, 0, None) for i in range(40)] + [(None, 1, 1), (5, None, 1)], [(1, item), (2, None), (3, "")])
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}-{name}")
+        docs = spark.read.parquet(f"{folder}-{name}")
+        seen[name] = {x.doc_id: x for x in docs.collect()}
+        assert {300, 301, 302, None} <= set(seen[name])
+    held = {i for i in range(100, 160) if __import__("zlib").crc32(str(i).encode()) % 3 == 1}
+    toxic = {i for i in range(101, 160, 2)}
+    assert not (toxic - held) & set(seen["toxicity"]) and len(held & toxic & set(seen["toxicity"])) <= 0.2 * len(held & toxic)
+    assert len(set(range(60)) & set(seen["toxicity"])) >= 58 and {200, 201, 202} <= set(seen["toxicity"])
+    assert 200 not in seen["line_dedup"] and 201 not in seen["line_dedup"]  # their only line is that of an earlier document
+    assert seen["line_dedup"][303].text == "one line of words here\nand another one of them" and seen["line_dedup"][303].n_chars == 46
+    assert 202 in seen["near_dedup"] and 202 not in seen["decontamination"] and 202 not in set(range(60))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert last.count() == docs.count()
+    again = corpus_pipeline.run(spark, folder)
+    assert sorted((str(x.doc_id), x.ids_sha256) for x in again.collect()) == sorted((str(x.doc_id), x.ids_sha256) for x in last.collect())
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, f"file://{tmp_path}/none", [], [], [])
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
