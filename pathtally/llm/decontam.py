@@ -38,7 +38,8 @@ from . import common
 TABLES, SAMPLES = 24, 2
 #: Words of a piece at most; longer items are looked up by several.
 PIECE = 30
-BLOCK = 2000
+#: Items that one scan of the documents looks for; their tables take some 1 KB each in a task.
+BLOCK = 20_000
 SEED = 11
 #: Lengths in one class differ by this factor at most.
 SPREAD = 1.25

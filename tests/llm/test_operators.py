@@ -139,7 +139,7 @@ def test_network_gradients(more):
         assert (up - down) / 2e-5 == pytest.approx(float(g[name][at]), rel=1e-3)
 
 
-def test_decontamination_recall_and_alignment(spark):
+def test_decontamination_recall_and_alignment(spark, monkeypatch):
     items = [(k, t) for k, t in enumerate(sentences(5, 30, 15, 60))] + [(98, None), (99, ""), (97, "one two")]
     r = random.Random(1)
     rows = [(i, t) for i, t in enumerate(sentences(6, 60, 60, 200))]
@@ -157,6 +157,8 @@ def test_decontamination_recall_and_alignment(spark):
     docs, bench = table(spark, rows + ODD), spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontam.leaks(docs, bench).collect()}
     assert got == planted
+    monkeypatch.setattr(decontam, "BLOCK", 7)
+    assert {(x.doc_id, x.item_id) for x in decontam.leaks(docs, bench).collect()} == planted  # by several scans
     left = decontam.clean(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - len({i for i, _ in planted})
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
