@@ -149,12 +149,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folder = common.shared_dir(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = common.stage(lines_of(given, min_words, near_words), folder, "lines")
-    # equal digests have equal words, so any value of the class is the value
-    classes = common.stage(lines.groupBy("h1", "h2").agg(F.min(place("doc_id", "line")).alias("at"), F.count("*").alias("copies")), folder, "classes")
-    keyed = lines.where("near is not null").select("h1", "h2", F.posexplode("near").alias("side", "key"))
+    # equal digests have equal words, so any value of the class is the value; from here on one row a class
+    sides = [F.max(F.col("near")[k]).alias(f"side{k}") for k in range(4)]
+    classes = common.stage(lines.groupBy("h1", "h2").agg(F.min(place("doc_id", "line")).alias("at"), F.count("*").alias("copies"), *sides), folder, "classes")
+    keyed = classes.where("side0 is not null and at is not null").select("at", "h1", F.posexplode(F.array(*[f"side{k}" for k in range(4)])).alias("side", "key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    sides = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
-    chosen = sides.join(classes.where("at is not null"), ["h1", "h2"]).select(doc_of("at").alias("doc_id"), F.struct(line_of("at").alias("line"), "first", "last").alias("x"))
+    chosen = keyed.join(shared, "key", "left_semi").groupBy("at").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
+    chosen = chosen.select(doc_of("at").alias("doc_id"), F.struct(line_of("at").alias("line"), "first", "last").alias("x"))
     by_doc = common.stage(chosen.groupBy("doc_id").agg(F.collect_list("x").alias("chosen")), folder, "chosen")  # lines of one document
     # both sides are dealt by id, whatever their size: the ids grow with the documents
     texts = given.where("text is not null").join(by_doc.hint("merge"), "doc_id")
@@ -174,9 +175,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spoken = texts.select(place("doc_id", "line").alias("at"), "words")
     near = near.join(spoken, "at").join(spoken.select(F.col("at").alias("keep"), F.col("words").alias("others")), "keep")
     near = common.stage(near.where(edits("words", "others") == 1).select("at", "keep"), folder, "near")
-    fate = classes.join(near, "at", "left").select("h1", "h2", "at", F.coalesce("keep", "at").alias("keep")).withColumnRenamed("at", "first")
+    fate = classes.join(near, "at", "left").select("h1", "h2", "copies", F.col("at").alias("first"), F.coalesce("keep", "at").alias("keep"))
     # classes of one line without an earlier near copy drop nothing
-    fate = fate.join(classes.where("copies > 1").select("h1", "h2", F.lit(True).alias("many")), ["h1", "h2"], "left").where("many or keep < first")
+    fate = fate.where("copies > 1 or keep < first").drop("copies")
     return (
         lines.select("doc_id", "line", "h1", "h2", place("doc_id", "line").alias("at")).join(fate, ["h1", "h2"]).where("keep < at")
         .select("doc_id", "line", doc_of("keep").alias("keep_doc_id"), line_of("keep").alias("keep_line"), (F.col("keep") < F.col("first")).cast("int").alias("edits"))
