@@ -3,8 +3,9 @@
 Every adjacent pair of symbols of a word has the rank of its merge (infinite if there is none).
 A segment tree over the pairs gives, at its root, the leftmost pair of the lowest rank; a merge
 blanks one leaf and renews its two neighbours, each in logarithmic time, until the root is
-infinite. A very long word therefore takes n log n steps. Each worker keeps the result of the
-words it has met in a bounded table.
+infinite. A very long word therefore takes n log n steps. Nodes have 16 children, so in a word of at
+most 16 pairs the leaves are the root's children: a tree of one level, whose minimum is a scan of at
+most 16 values. Each worker keeps the result of the words it has met in a bounded table.
 
 Null, empty: no tokens, the decoded text is empty. Texts of white space only: the same. Special
 strings of the vocabulary in a text become their own token, as in the library. Repeated rows
@@ -99,9 +100,6 @@ class PairTree:
             self.levels.append(level)
         self.top = level
 
-    def root(self) -> int:
-        return min(self.top)
-
     def renew(self, leaf: int) -> None:
         """Carries a changed leaf up to the root's children."""
         below = self.leaves
