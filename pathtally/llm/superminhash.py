@@ -15,7 +15,8 @@ are refused within the join where sizes, or the parities of 512 bins of shingles
 can't reach the bound; only the rest meets its full sets.
 
 Null, empty or blank texts: empty set, no links, own component. Null ids: no links, component null,
-kept. Rows that repeat an id: each has the class of its own text. Other columns are not read.
+kept. An id is one document: texts under one id are linked by it, so their components are one; each
+row has the size of its own set. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -180,6 +181,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     texts = given.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = common.stage(full_sets(texts, size).join(needed, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), folder, "sets")
     links, labels = None, None
+    # an id with several texts links their classes
+    twice = real.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("doc_id")
+    own = real.join(twice, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("doc_id <> rep")
+    own = common.stage(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), folder, "own")
+    if own.take(1):
+        links, labels = own, common.components(spark, own, folder, "labels-0")
     turn = 0
     while True:
         turn += 1

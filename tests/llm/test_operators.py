@@ -286,6 +286,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert superminhash.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    a, b = sentences(31, 2, 60, 80)
+    rows = [(1, a), (5, a), (5, b), (3, b), (9, "alone here")]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in superminhash.near_duplicates(table(spark, rows)).collect())
+    assert got == [(1, 1, True), (3, 1, False), (5, 1, False), (5, 1, False), (9, 9, True)]
+
+
 def test_superminhash_estimates_jaccard():
     r = np.random.default_rng(5)
     x = r.integers(0, 1 << 63, 3000).astype(np.uint64)
