@@ -232,6 +232,8 @@ UNION ALL SELECT coverage, coverage || chr(9) || n FROM ({hist_sql("node")})""")
     "coverage_line_tsv": LINES.format(rows=f"""SELECT -2 AS k, 'panel' || chr(9) || 'coverage' AS value UNION ALL SELECT -1, 'count' || chr(9) || 'bp' UNION ALL SELECT coverage, coverage || chr(9) || n FROM ({hist_sql("bp")}) WHERE coverage > 0"""),
     "ordered_growth_tsv": LINES.format(rows=f"""SELECT -4 AS k, 'panel' || chr(9) || 'ordered-growth' AS value UNION ALL SELECT -3, 'count' || chr(9) || 'node' UNION ALL SELECT -2, 'coverage' || chr(9) || '1' UNION ALL SELECT -1, 'quorum' || chr(9) || '0'
 UNION ALL SELECT group_idx, g || chr(9) || value::BIGINT FROM ({ordered_sql("1", 1, 0.0).replace("SELECT gi::INTEGER AS group_idx,", "SELECT g, gi::INTEGER AS group_idx,")})"""),
+    "node_distribution_tsv": LINES.format(rows=f"""SELECT -1 AS k, array_to_string(['Bin', 'Coverage', 'Log-Length', 'Log-Size'], chr(9)) AS value
+UNION ALL SELECT b, b || chr(9) || printf('%g', x) || chr(9) || printf('%g', y) || chr(9) || printf('%g', log10(size::DOUBLE)) FROM (SELECT *, row_number() OVER (ORDER BY x, y) - 1 AS b FROM ({HEXBINS}))"""),
     "growth_of_text": f"SELECT m, value, round(value - lag(value, 1, 0) OVER (ORDER BY m), 6) AS new_items FROM ({growth_sql('union', 1, 0.0)})",
     "hexbin_nodes": HEXBINS.replace("END AS c FROM u)", "END AS c, item FROM u)").replace("round(c[2], 9) AS y, count(*)::BIGINT AS size FROM c GROUP BY 1, 2", "round(c[2], 9) AS y, item FROM c"),
     "path_displays": "SELECT c_custkey, 's#' || c_mktsegment || CASE WHEN c_acctbal > 0 THEN ':' || c_custkey || '-' || (c_custkey + 9) ELSE '' END AS display FROM customer",
