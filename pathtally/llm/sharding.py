@@ -7,7 +7,7 @@ more than the wanted number of shards is found by binary search, and the order i
 The driver never sees the groups: it holds byte sums of 65,536 fixed ranges of the hash (a bound
 that does not grow with the data) and, for the few ranges in which a cut may fall, their groups.
 A row's shard then follows from its hash and seven constants, without a join. Slots are numbered
-within (shard, salt of the id), so one huge group is spread over many tasks.
+within (shard, salt of id and text), so one huge group is spread over many tasks.
 
 Null text: size 1, one group with all other nulls. Empty text: size 1, its own group. Null ids and
 repeated rows keep a slot each. An empty table gives an empty result. Columns besides id and text
@@ -127,7 +127,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     shard = F.lit(0)
     for first in cuts:
         shard = shard + (F.col("key") >= F.lit(first)).cast("int")
-    rows = rows.withColumn("shard", shard.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("shard", shard.cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
 
     counted = {(s, t): n for s, t, n in rows.groupBy("shard", "salt").count().collect()}  # shards x 256 rows
     offsets = []

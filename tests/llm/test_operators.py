@@ -331,6 +331,21 @@ def test_sharding_is_minimax(spark):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({x.shard for x in got if x.doc_id is not None and x.doc_id >= 1000}) == 1
     assert sharding.assign_shards(table(spark, []), 8).count() == 0
+    # every column, and the law: no shard beyond the mean by more than the largest group
+    import zlib
+
+    texts, shard_of, total = {}, {}, [0] * 8
+    for i, t in rows:
+        texts.setdefault(i, set()).add(t)
+    for x in got:
+        assert any((x["size"], x.text_crc32) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts[x.doc_id])
+        assert x.law == "bytes" and x.grown_shard is None and 0 <= x.shard < 8
+        total[x.shard] += x["size"]
+        if len(texts[x.doc_id]) == 1:
+            shard_of.setdefault(next(iter(texts[x.doc_id])), set()).add(x.shard)
+    assert all(len(s) == 1 for s in shard_of.values())
+    largest = max(sum(len((t or "").encode()) + 1 for _, t in rows if t == text) for text in {t for _, t in rows})
+    assert max(total) <= sum(total) / 8 + largest
 
 
 def test_personal_data_base_and_context(spark):
