@@ -8,8 +8,9 @@ condition; they are as small as users write them, and Spark broadcasts them only
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -185,6 +186,8 @@ class Counted:
         edge = names.canonical_edge(F.col("node_id"), F.col("fwd"), F.col("next.node_id"), F.col("next.fwd"))
         rows = rows.select("path_id", "pos", "id", "group_idx", edge.alias("e"), F.col("next.p").alias("p"), F.col("next.len").alias("len"))
         rows = rows.select("*", "e.*").drop("e")
+        if self.graph.labelled:
+            return rows.select("path_id", "pos", "id", "group_idx", names.edge_label(F.col("u"), F.col("u_fwd"), F.col("v"), F.col("v_fwd")).alias("item"), "p", "len")
         edges = self.graph.edges.withColumnRenamed("edge_id", "item")
         known = rows.join(edges, ["u", "u_fwd", "v", "v_fwd"], "left")
         item = F.when(F.col("item").isNull(), F.raise_error(F.concat(F.lit("path over an edge that is not in the graph: "), names.edge_label(F.col("u"), F.col("u_fwd"), F.col("v"), F.col("v_fwd"))))).otherwise(F.col("item"))
@@ -256,15 +259,25 @@ class Counted:
 
     def hist(self, measure: str = "node") -> DataFrame:
         """count, coverage 0..G, n."""
+        return self.hists([measure])
+
+    def hists(self, measures: Sequence[str]) -> DataFrame:
+        """count, coverage 0..G, n of several measures. Without masks nodes and base pairs are one pass."""
         spark = self.graph.nodes.sparkSession
-        cov = self.coverage(measure)
-        beyond = F.raise_error(F.concat(F.lit("an item has more groups than there are: "), F.col("item").cast("string")))
-        cov = cov.withColumn("cov", F.when(F.col("cov") > self.n_groups, beyond).otherwise(F.col("cov")))
-        rows = cov.groupBy(F.col("cov").alias("coverage")).agg(F.sum("weight").alias("n"), F.sum("uncovered").alias("left_out"))
-        rows = rows.select("coverage", "n").union(rows.select(F.lit(0).alias("coverage"), F.col("left_out").alias("n")))
-        rows = rows.groupBy("coverage").agg(F.sum("n").alias("n"))
-        full = spark.range(self.n_groups + 1).select(F.col("id").cast("int").alias("coverage"))
-        return full.join(rows, "coverage", "left").select(F.lit(measure).alias("count"), "coverage", F.coalesce("n", F.lit(0)).alias("n"))
+        passes = [["node", "bp"], *[[m] for m in measures if m not in ("node", "bp")]] if {"node", "bp"} <= set(measures) and self.uncovered is None and self.excluded is None else [[m] for m in measures]
+        parts = []
+        for own in passes:
+            cov = self.coverage(own[-1])
+            beyond = F.raise_error(F.concat(F.lit("an item has more groups than there are: "), F.col("item").cast("string")))
+            cov = cov.withColumn("cov", F.when(F.col("cov") > self.n_groups, beyond).otherwise(F.col("cov")))
+            # base pairs that masks leave out count as not covered
+            sums = {m: F.count("*") if m == "node" and len(own) > 1 else F.sum("weight") for m in own}
+            rows = cov.groupBy(F.col("cov").alias("coverage")).agg(*[x.alias(m) for m, x in sums.items()], F.sum("uncovered").alias("left_out"))
+            for m in own:
+                parts += [rows.select(F.lit(m).alias("count"), "coverage", F.col(m).alias("n")), rows.select(F.lit(m).alias("count"), F.lit(0).alias("coverage"), F.col("left_out").alias("n"))]
+        rows = reduce(DataFrame.unionByName, parts).groupBy("count", "coverage").agg(F.sum("n").alias("n"))
+        full = spark.range(self.n_groups + 1).select(F.explode(F.array(*map(F.lit, measures))).alias("count"), F.col("id").cast("int").alias("coverage"))
+        return full.join(rows, ["count", "coverage"], "left").select("count", "coverage", F.coalesce("n", F.lit(0)).alias("n"))
 
     def table(self, measure: str = "node", total: bool = False) -> DataFrame:
         """Long form of the coverage table: item, group_idx, value (visits, weighed for bp), or item, value (groups)."""

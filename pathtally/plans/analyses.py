@@ -53,7 +53,10 @@ class State:
         if not hasattr(self, "_hists"):
             self._hists: dict[str, list[int]] = {}
         if measure not in self._hists:
-            self._hists[measure] = [r.n for r in self.base.hist(measure).orderBy("coverage").collect()]
+            masked = self.run.subset or self.run.exclude
+            wanted = [measure] if measure == "edge" or masked else ["node", "bp"]  # without masks these two cost one pass
+            for r in self.base.hists(wanted).orderBy("count", "coverage").collect():
+                self._hists.setdefault(r["count"], []).append(r.n)
         return self._hists[measure]
 
     def group_names(self, counted: Counted) -> list[str]:
@@ -337,7 +340,7 @@ class Custom:
         kind = os.path.splitext(self.file)[1].lstrip(".").lower()
         if kind in ("csv", "tsv"):
             df = state.spark.read.csv(self.file, sep="," if kind == "csv" else "\t", header=True)
-            item = {"kind": "table", "header": df.columns, "values": [[str(v) for v in r] for r in df.collect()]}
+            item = {"kind": "table", "header": df.columns, "values": [[str(v) for v in r] for r in df.limit(1000).collect()]}  # what a page shows
         elif kind in ("svg", "json"):
             with open(self.file, encoding="utf-8") as f:
                 item = {"kind": kind, "file": f.read() if kind == "svg" else json.load(f)}

@@ -74,7 +74,7 @@ def named_graph(spark: SparkSession, sf_dir: str) -> Graph:
     seqid = F.concat(F.lit("o"), F.col("path_id").cast("string"))
     id_ = names.path_id(F.col("sample"), F.col("hap"), seqid)
     paths = g.paths.withColumns({"seqid": seqid, "id": id_, "display": names.display(id_, F.col("start"), F.col("end"))})
-    return Graph(g.nodes, g.edges, paths, g.steps)
+    return Graph(g.nodes, g.edges, paths, g.steps, labelled=True)
 
 
 # --- graph text -----------------------------------------------------------------------------------
@@ -104,8 +104,8 @@ def gfa_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gfa_nice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of graph text whose segment names are their numbers."""
-    lines = gfa_lines(spark, sf_dir).withColumn("value", F.regexp_replace("value", r"s([0-9]+)", "$1"))
-    nodes, paths = parse_nodes(lines, nice=True), parse_paths(lines)
+    segments, lines = (x.withColumn("value", F.regexp_replace("value", r"s([0-9]+)", "$1")) for x in gfa_lines(spark, sf_dir))
+    nodes, paths = parse_nodes(segments, nice=True), parse_paths(lines)
     steps = explode_steps(paths, nodes, nice=True)
     return steps.groupBy("node_id").agg(F.count("*").alias("steps"), F.sum("p").cast("long").alias("places"), F.sum(F.col("fwd").cast("long")).alias("forward"))
 

@@ -53,7 +53,7 @@ def mapped_graph(spark: SparkSession, sf_dir: str, suppliers: bool = False, urge
     edges = nxt.select(names.canonical_edge(F.col("node_id"), F.col("fwd"), F.col("v"), F.col("v_fwd")).alias("e")).distinct()
     # the label tells edges apart for sure, which a hash would not
     edges = edges.select("e.*").select(names.edge_label(F.col("u"), F.col("u_fwd"), F.col("v"), F.col("v_fwd")).alias("edge_id"), "*")
-    return Graph(nodes, edges, paths, steps)
+    return Graph(nodes, edges, paths, steps, labelled=True)
 
 
 def by_sample(spark: SparkSession, sf_dir: str, suppliers: bool = False, **masks) -> Counted:
@@ -176,27 +176,27 @@ def orders_of(priority: str):
 
 
 def hist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = by_sample(spark, sf_dir, suppliers=True)
-    return x.hist("node").unionByName(x.hist("bp")).unionByName(x.hist("edge"))
+    return by_sample(spark, sf_dir, suppliers=True).hists(["node", "bp", "edge"])
 
 
-def gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts graph as graph text: S lines, P lines, and the same paths as W lines."""
+def gfa_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The parts graph as graph text: S lines; P lines and the same paths as W lines."""
     g = mapped_graph(spark, sf_dir)
     s = g.nodes.select(F.struct(F.lit(0).cast("long").alias("block"), F.col("node_id").alias("n")).alias("rank"), F.concat_ws("\t", F.lit("S"), F.concat(F.lit("s"), "name"), F.repeat(F.lit("A"), F.col("len").cast("int"))).alias("value"))
     step = g.steps.join(g.paths.select("path_id", "sample", "hap"), "path_id").groupBy("path_id", "sample", "hap").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", "fwd"))).alias("x"))
     plus = F.array_join(F.transform("x", lambda t: F.concat(F.lit("s"), t["node_id"].cast("string"), F.when(t["fwd"], "+").otherwise("-"))), ",")
     sign = F.array_join(F.transform("x", lambda t: F.concat(F.when(t["fwd"], ">").otherwise("<"), F.lit("s"), t["node_id"].cast("string"))), "")
-    name = F.concat_ws("#", F.col("sample"), F.regexp_replace("hap", " ", ""), F.concat(F.lit("o"), F.col("path_id").cast("string")))
-    p = step.select(F.struct(F.lit(1).cast("long").alias("block"), F.col("path_id").alias("n")).alias("rank"), F.concat_ws("\t", F.lit("P"), name, plus, F.lit("*")).alias("value"))
-    w = step.select(F.struct(F.lit(2).cast("long").alias("block"), F.col("path_id").alias("n")).alias("rank"), F.concat_ws("\t", F.lit("W"), "sample", "hap", F.concat(F.lit("o"), F.col("path_id").cast("string")), F.lit("*"), F.lit("*"), sign).alias("value"))
-    return s.union(p).union(w)
+    seqid = F.concat(F.lit("o"), F.col("path_id").cast("string"))
+    name = F.concat_ws("#", F.col("sample"), F.regexp_replace("hap", " ", ""), seqid)
+    p, w = F.concat_ws("\t", F.lit("P"), name, plus, F.lit("*")), F.concat_ws("\t", F.lit("W"), "sample", "hap", seqid, F.lit("*"), F.lit("*"), sign)
+    both = step.select("path_id", F.posexplode(F.array(p, w)).alias("block", "value"))
+    return s, both.select(F.struct((1 + F.col("block")).cast("long").alias("block"), F.col("path_id").alias("n")).alias("rank"), "value")
 
 
 def gfa_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = gfa_lines(spark, sf_dir)
-    nodes, paths = parse_nodes(lines), parse_paths(lines)
-    steps = explode_steps(paths, nodes).join(paths.select("path_id", "kind", "sample", "seqid"), "path_id").join(nodes.select("node_id", "name"), "node_id")
+    segments, lines = gfa_lines(spark, sf_dir)
+    nodes, paths = parse_nodes(segments), parse_paths(lines)
+    steps = explode_steps(paths, nodes, carry=["kind", "sample", "seqid", "name"])
     return steps.select("kind", "sample", F.expr("cast(substring(seqid, 2) as bigint)").alias("o"), F.col("pos").cast("long").alias("pos"), F.expr("cast(substring(name, 2) as bigint)").alias("part"), "fwd", "len", "p")
 
 

@@ -8,6 +8,7 @@ chromosome.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +35,8 @@ class Graph:
     paths: DataFrame
     steps: DataFrame
     nice: bool = False
+    #: Whether edges were made from the paths and have their labels as ids: steps need no look-up then.
+    labelled: bool = False
     #: Frames that are kept for the numbers of nodes, edges and paths.
     held: list[DataFrame] = field(default_factory=list)
 
@@ -121,20 +124,24 @@ def parse_paths(lines: DataFrame, held: list[DataFrame] | None = None) -> DataFr
     return rows.withColumn("id", own).withColumn("display", names.display(F.col("id"), F.col("start"), F.col("end")))
 
 
-def explode_steps(paths: DataFrame, nodes: DataFrame, nice: bool = False) -> DataFrame:
-    """path_id, pos, node_id, fwd, len, p (bp offset, from the path's start)."""
+def explode_steps(paths: DataFrame, nodes: DataFrame, nice: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """path_id, pos, node_id, fwd, len, p (bp offset, from the path's start), and columns of the paths to carry.
+
+    Carried are also ``name``, the segment's own, if asked for.
+    """
+    own = [c for c in carry if c != "name"]
     tokens = F.when(F.col("kind") == "P", F.filter(F.split("raw", ","), lambda t: t != "")).otherwise(F.regexp_extract_all("raw", F.lit("[<>][^<>]+"), F.lit(0)))
-    steps = paths.select("path_id", "kind", F.coalesce("start", F.lit(0)).alias("start"), F.posexplode(tokens).alias("pos", "token"))
-    is_p = F.col("kind") == "P"
+    steps = paths.select("path_id", F.col("kind").alias("__kind"), F.coalesce("start", F.lit(0)).alias("__start"), *own, F.posexplode(tokens).alias("pos", "token"))
+    is_p = F.col("__kind") == "P"
     name = F.when(is_p, F.expr("left(token, length(token) - 1)")).otherwise(F.expr("substring(token, 2)"))
     fwd = F.when(is_p, F.right("token", F.lit(1)) == "+").otherwise(F.left("token", F.lit(1)) == ">")
-    steps = steps.select("path_id", "start", "pos", name.alias("name"), fwd.alias("fwd"))
+    steps = steps.select("path_id", "__start", "pos", name.alias("name"), fwd.alias("fwd"), *own)
     if nice:
         steps = steps.withColumn("name", F.col("name").cast("long")).join(nodes.select(F.col("node_id").alias("name"), "node_id", "len"), "name", "left")
     else:
         steps = steps.join(nodes.select("name", "node_id", "len"), "name", "left")
     known = F.when(F.col("node_id").isNull(), F.raise_error(F.concat(F.lit("path over an unknown segment: "), F.col("name").cast("string")))).otherwise(F.col("node_id"))
-    return with_offsets(steps.withColumn("node_id", known)).select("path_id", "pos", "node_id", "fwd", "len", (F.col("start") + F.col("p")).alias("p"))
+    return with_offsets(steps.withColumn("node_id", known)).select("path_id", "pos", "node_id", "fwd", "len", (F.col("__start") + F.col("p")).alias("p"), *carry)
 
 
 def with_offsets(steps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -166,7 +173,7 @@ def graph_of(lines: DataFrame, nice: bool = False, use_ln: bool = False, check:
     if check:
         check_nodes(nodes)
     paths = parse_paths(lines, held)
-    return Graph(nodes, parse_links(lines, nodes, held), paths.drop("raw"), explode_steps(paths, nodes, nice), nice, held)
+    return Graph(nodes, parse_links(lines, nodes, held), paths.drop("raw"), explode_steps(paths, nodes, nice), nice, held=held)
 
 
 def read_graph(spark: SparkSession, path: str, nice: bool = False, use_ln: bool = False) -> Graph:
