@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; at their end the worker gives memory that it no longer uses back to the system.
+
+    Workers serve many tasks, and what the allocators keep would stand beside the next one's needs.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """Helper column names like ``names`` that no column has, in any case of letters."""
     taken, out = {c.lower() for c in columns}, []

@@ -111,7 +111,7 @@ def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """doc_id, line, h1, h2 (digest), near (keys of halves; null for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.trimmed(batches):
             for at in range(0, batch.num_rows, 100):
                 rows = []
                 for doc, text in zip(batch.column(0).slice(at, 100).to_pylist(), batch.column(1).slice(at, 100).to_pylist(), strict=True):
@@ -193,7 +193,7 @@ def emitted(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
-        for batch in batches:
+        for batch in common.trimmed(batches):
             parts: list[tuple[np.ndarray, ...]] = []
             held = 0
             names = ["doc_id", "line", "kind", "key"]

@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(n), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands, parity], names=["doc_id", "n_shingles", "d1", "d2", "bands", "parity"]
             )
 
-        for batch in batches:
+        for batch in common.trimmed(batches):
             ids, sets, n = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
-        for batch in batches:
+        for batch in common.trimmed(batches):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingle_set(t, size, hashes) for t in part.column(1).to_pylist()]

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 POSITIVE, NEGATIVE = 1000, 2000
 WINDOW, STEP = 32, 16
 #: Buckets of characters, sizes of the vectors of characters and words, hidden units of the readers.
@@ -474,7 +476,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
-        for texts in parts:
+        for texts in common.trimmed(parts):
             own = [t if isinstance(t, str) else None for t in texts]
             yield pd.Series([s for k in range(0, len(own), 200) for s in scorer.scores(own[k : k + 200])], dtype="float64")
 
@@ -486,7 +488,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in common.trimmed(batches):
             texts = batch.column(2).to_pylist()
             got = [s for k in range(0, len(texts), 200) for s in scorer.scores(texts[k : k + 200])]
             yield pa.RecordBatch.from_arrays(
