@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .counting import Counted
@@ -16,29 +17,58 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(each, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in that of ``spark.checkpoint.dir``; where no folder is set, a temporary one is if the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='pathtally-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/pathtally-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again: neither its plan nor Spark's estimate of its size goes on."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, component (its smallest node), by least labels and pointer jumping.
 
-    Each round is checkpointed in the folder of ``spark.checkpoint.dir``, so plans stay small, lost
-    executors cost a round at most, and nothing is kept in memory; where no folder is set, a temporary
-    one is if the master is local.
+    Each round is written to a folder that driver and executors share, and the one before is deleted,
+    so plans stay small, lost executors cost a round at most, and nothing is kept in memory. A
+    checkpoint would not do: it keeps the estimated size, for a join the product of both sides, so
+    that the digits of this number double in each round and fill the driver. Joins are by sorting, as
+    the files' sizes may be below the limit for a broadcast while the rows they hold are many.
     """
-    spark = nodes.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pathtally-')}")
-    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct().checkpoint()
+    spark, k = nodes.sparkSession, 0
+    folder = shared_folder(spark)
+    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
+    both = staged(both, f"{folder}/edges")
     # the first round needs no labels: a node's own number and the least of those beside it
     near = both.groupBy(F.col("a").alias("node_id")).agg(F.min("b").alias("near"))
-    labels = nodes.select("node_id").join(near, "node_id", "left").select("node_id", F.least("node_id", F.coalesce("near", "node_id")).alias("component")).checkpoint()
+    labels = nodes.select("node_id").join(near.hint("merge"), "node_id", "left").select("node_id", F.least("node_id", F.coalesce("near", "node_id")).alias("component"))
+    labels = staged(labels, f"{folder}/round-0")
     while True:
-        near = both.join(labels.withColumnRenamed("node_id", "b"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        near = both.join(labels.withColumnRenamed("node_id", "b").hint("merge"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("near"))
+        low = labels.join(near.hint("merge"), "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        # what a node has found goes to the node that labels it too, else a label moves along a chain by few steps a round
+        hook = low.groupBy(F.col("component").alias("node_id")).agg(F.min("low").alias("hook"))
+        low = low.join(hook.hint("merge"), "node_id", "left").select("node_id", "component", F.least("low", F.coalesce("hook", "low")).alias("low"))
         far = labels.select(F.col("node_id").alias("low"), F.col("component").alias("far"))
-        step = low.join(far, "low").select("node_id", F.least("low", "far").alias("new"), "component").checkpoint()
+        step = low.join(far.hint("merge"), "low").select("node_id", F.least("low", "far").alias("new"), "component")
+        step, k = staged(step, f"{folder}/round-{k + 1}"), k + 1
+        dropped(spark, f"{folder}/round-{k - 1}")
         labels = step.select("node_id", F.col("new").alias("component"))
         if not step.where("new < component").take(1):
+            dropped(spark, f"{folder}/edges")
             return labels
 
 

@@ -408,6 +408,18 @@ def test_components_of_all_edges_against_brute_force(spark):
     assert got == {n: top(n) for n in sizes}
 
 
+def test_components_of_a_long_chain_keep_size_estimates_small(spark):
+    r = random.Random(9)
+    chain = r.sample(range(400), 400)
+    nodes = spark.createDataFrame([(n,) for n in range(402)], "node_id long")
+    edges = spark.createDataFrame([*zip(chain[:250], chain[1:250]), *zip(chain[250:], chain[251:]), (400, 400)], "u long, v long")
+    got = info.components(nodes, edges)
+    parts = [set(chain[:250]), set(chain[250:]), {400}, {401}]
+    assert {x.node_id: x.component for x in got.collect()} == {n: min(p) for p in parts for n in p}
+    # each round multiplied Spark's estimate, a number whose digits filled the driver's memory
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+
+
 def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
     import numpy as np
 
