@@ -18,7 +18,7 @@ from ..operators.counting import Counted, load_coords
 from ..sources import tables
 from ..sources.graph import Graph, explode_steps, parse_links, parse_nodes, parse_paths
 from . import analyses
-from .mapped import EDGE_STEPS, HEXBINS, ORDER, PART_STEPS, by_sample, gfa_lines, growth_sql, hist_sql, load, mapped_graph, ordered_sql
+from .mapped import EDGE_STEPS, HEXBINS, ORDER, PART_STEPS, by_sample, gfa_lines, growth_sql, hist_sql, load, mapped_graph, ordered_sql, path_name
 
 
 def ranked(df: DataFrame, key: str, value, block: int = 0) -> DataFrame:
@@ -47,7 +47,7 @@ def hist_haplotype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hist_group_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups by a group file: the priority of each order."""
-    lines = load(spark, sf_dir, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    lines = load(spark, sf_dir, "orders").select(F.concat_ws("\t", path_name(F.col("o_orderkey")), "o_orderpriority").alias("value"))
     return Counted(mapped_graph(spark, sf_dir), Grouping("file", "orders"), groups=tables.parse_groups(lines)).hist("bp")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -27,6 +27,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def path_name(order: Column) -> Column:
+    """The name of an order's path. A bare number could be a nation: a mask that names an order without lines would take that group in."""
+    return F.concat(F.lit("o"), order.cast("string"))
+
+
 def mapped_graph(spark: SparkSession, sf_dir: str, suppliers: bool = False, urgent: bool = False) -> Graph:
     """``urgent``: only orders of the first priority, so that some nodes stay unvisited."""
     orders = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -41,7 +46,7 @@ def mapped_graph(spark: SparkSession, sf_dir: str, suppliers: bool = False, urge
         node, sample, hap = "l_partkey", F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
     paths = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select(
         F.col("o_orderkey").alias("path_id"), F.lit("P").alias("kind"), sample.alias("sample"), hap.alias("hap"), F.lit(None).cast("string").alias("seqid"),
-        F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("display"),
+        F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), path_name(F.col("o_orderkey")).alias("id"), path_name(F.col("o_orderkey")).alias("display"),
     )
     w = Window.partitionBy("l_orderkey").orderBy(*STEP_ORDER)
     steps = lines.withColumn("pos", F.row_number().over(w) - 1).join(nodes.select(F.col("node_id").alias(node), "len"), node)
@@ -64,7 +69,7 @@ def by_sample(spark: SparkSession, sf_dir: str, suppliers: bool = False, **masks
 def whole(ids: DataFrame) -> DataFrame:
     """A mask of whole paths."""
     none = F.lit(None).cast("long")
-    return ids.select(F.struct(F.lit(0).alias("block"), F.col("path_id").alias("n")).alias("rank"), F.col("path_id").cast("string").alias("id"), none.alias("start"), none.alias("end"), F.col("path_id").cast("string").alias("display"))
+    return ids.select(F.struct(F.lit(0).alias("block"), F.col("path_id").alias("n")).alias("rank"), path_name(F.col("path_id")).alias("id"), none.alias("start"), none.alias("end"), path_name(F.col("path_id")).alias("display"))
 
 
 def some_orders(spark: SparkSession, sf_dir: str, priority: str) -> DataFrame:

@@ -420,6 +420,21 @@ def test_components_of_a_long_chain_keep_size_estimates_small(spark):
     assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
 
 
+def test_an_order_without_lines_does_not_stand_for_a_nation(spark, tmp_path):
+    from pathtally.plans import mapped
+
+    tables_ = {
+        "customer": ([(1, 7, "A"), (2, 8, "A")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "part": ([(1, 20), (2, 30)], "p_partkey long, p_size int"),
+        # order 7 has no lines, and 7 is the nation of order 100
+        "orders": ([(7, 1, "2-HIGH"), (100, 1, "1-URGENT"), (101, 2, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": ([(100, 1, 1, 1, 1.0, 1.0, "F"), (101, 2, 1, 1, 1.0, 1.0, "F")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string"),
+    }
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert dense(mapped.QUERIES["hist_bp_interval"](spark, str(tmp_path))) == [30, 20]
+
+
 def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
     import numpy as np
 
