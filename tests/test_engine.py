@@ -433,6 +433,7 @@ def test_an_order_without_lines_does_not_stand_for_a_nation(spark, tmp_path):
     for name, (rows, schema) in tables_.items():
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert dense(mapped.QUERIES["hist_bp_interval"](spark, str(tmp_path))) == [30, 20]
+    assert dense(mapped.QUERIES["hist_bp_exclude"](spark, str(tmp_path))) == [34, 16]
 
 
 def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
