@@ -416,6 +416,7 @@ def test_components_of_a_long_chain_keep_size_estimates_small(spark):
     got = info.components(nodes, edges)
     parts = [set(chain[:250]), set(chain[250:]), {400}, {401}]
     assert {x.node_id: x.component for x in got.collect()} == {n: min(p) for p in parts for n in p}
+    assert tuple(info.component_info(nodes, edges).first()) == (4, 250, 1, 75.5)
     # each round multiplied Spark's estimate, a number whose digits filled the driver's memory
     assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
 
