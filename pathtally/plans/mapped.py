@@ -232,10 +232,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph that joins parts of one brand only: nodes, edges. It falls into many components."""
+    """The graph that joins parts of one brand only: nodes, edges. It falls into many components.
+
+    Joins are by sorting: the file of the parts may be below the limit for a broadcast, while their rows fill the driver.
+    """
     g, brand = mapped_graph(spark, sf_dir), load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand")
     u, v = brand.select(F.col("k").alias("u"), F.col("p_brand").alias("ub")), brand.select(F.col("k").alias("v"), F.col("p_brand").alias("vb"))
-    return g.nodes, g.edges.join(u, "u").join(v, "v").where("ub = vb")
+    return g.nodes, g.edges.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where("ub = vb")
 
 
 def hexbins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,6 +421,16 @@ def test_components_of_a_long_chain_keep_size_estimates_small(spark):
     assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
 
 
+def test_brands_join_by_sorting_however_small_their_file(spark):
+    from pathtally.plans import mapped
+
+    _, edges = mapped.brand_links(spark, SMALL)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    # broadcasts of the parts filled the driver, as their file is much smaller than their rows
+    for key in ("u", "ub"):
+        assert f"SortMergeJoin [{key}#" in plan and f"BroadcastHashJoin [{key}#" not in plan
+
+
 def test_an_order_without_lines_does_not_stand_for_a_nation(spark, tmp_path):
     from pathtally.plans import mapped
 
