@@ -24,10 +24,10 @@ END = tables.OPEN_END
 
 
 def merge_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching [start, end) of each key become one."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+    """Overlapping or touching [start, end) of each key become one. One without a start begins nothing: it goes with the key's last."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    marked = df.withColumn("__new", F.coalesce((F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"), F.lit(0)))
     marked = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
 

@@ -213,7 +213,8 @@ def pansn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_orderkey") % 5000 + F.col("l_quantity").cast("long")).alias("end"))
+    size = F.rint("l_quantity").cast("long")  # the SQL's cast rounds halves to even
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_orderkey") % 5000 + size).alias("end"))
     return merge_intervals(rows, ["key"]).select("key", "start", "end")
 
 

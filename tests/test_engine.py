@@ -447,6 +447,16 @@ def test_an_order_without_lines_does_not_stand_for_a_nation(spark, tmp_path):
     assert dense(mapped.QUERIES["hist_bp_exclude"](spark, str(tmp_path))) == [34, 16]
 
 
+def test_bed_merge_rounds_quantities_and_takes_lines_without_an_order_as_its_sql_does(spark, tmp_path):
+    from pathtally.plans import mapped
+
+    rows = [(5010, 1, 1.5), (12, 1, 2.5), (20, 1, 3.7), (24, 1, 0.5), (None, 1, 4.0), (None, 2, 1.0), (30, None, 1.0), (40, 3, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in mapped.QUERIES["bed_merge"](spark, str(tmp_path)).collect()}
+    # as DuckDB gives them: 10 + 2 meets 12, 20 + 4 meets 24; lines without an order begin nothing
+    assert got == {(1, 10, 14), (1, 20, 24), (2, None, None), (None, 30, 31), (3, 40, None)}
+
+
 def test_similarity_and_clusters_of_all_orders_against_brute_force(spark):
     import numpy as np
 
