@@ -154,8 +154,18 @@ class Counted:
         return group_order(self.grouped, source, self.excluded)
 
     @cached_property
+    def group_counts(self) -> tuple[int, int]:
+        """Groups; those of them that have a name."""
+        return tuple(self.group_index.agg(F.count("*"), F.count("group_name")).first())
+
+    @property
     def n_groups(self) -> int:
-        return self.group_index.count()
+        return self.group_counts[0]
+
+    @property
+    def n_named(self) -> int:
+        """The most groups an item can have: paths without a name of their group count in none."""
+        return self.group_counts[1]
 
     def spans(self, mask: DataFrame) -> DataFrame:
         rows = mask.select("id", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(END)).alias("end"))
@@ -269,14 +279,14 @@ class Counted:
         for own in passes:
             cov = self.coverage(own[-1])
             beyond = F.raise_error(F.concat(F.lit("an item has more groups than there are: "), F.col("item").cast("string")))
-            cov = cov.withColumn("cov", F.when(F.col("cov") > self.n_groups, beyond).otherwise(F.col("cov")))
+            cov = cov.withColumn("cov", F.when(F.col("cov") > self.n_named, beyond).otherwise(F.col("cov")))
             # base pairs that masks leave out count as not covered
             sums = {m: F.count("*") if m == "node" and len(own) > 1 else F.sum("weight") for m in own}
             rows = cov.groupBy(F.col("cov").alias("coverage")).agg(*[x.alias(m) for m, x in sums.items()], F.sum("uncovered").alias("left_out"))
             for m in own:
                 parts += [rows.select(F.lit(m).alias("count"), "coverage", F.col(m).alias("n")), rows.select(F.lit(m).alias("count"), F.lit(0).alias("coverage"), F.col("left_out").alias("n"))]
         rows = reduce(DataFrame.unionByName, parts).groupBy("count", "coverage").agg(F.sum("n").alias("n"))
-        full = spark.range(self.n_groups + 1).select(F.explode(F.array(*map(F.lit, measures))).alias("count"), F.col("id").cast("int").alias("coverage"))
+        full = spark.range(self.n_named + 1).select(F.explode(F.array(*map(F.lit, measures))).alias("count"), F.col("id").cast("int").alias("coverage"))
         return full.join(rows, ["count", "coverage"], "left").select("count", "coverage", F.coalesce("n", F.lit(0)).alias("n"))
 
     def table(self, measure: str = "node", total: bool = False) -> DataFrame:

@@ -447,6 +447,21 @@ def test_an_order_without_lines_does_not_stand_for_a_nation(spark, tmp_path):
     assert dense(mapped.QUERIES["hist_bp_exclude"](spark, str(tmp_path))) == [34, 16]
 
 
+def test_customers_without_a_nation_add_no_coverage(spark, tmp_path):
+    from pathtally.plans import mapped
+
+    tables_ = {
+        "customer": ([(1, 7, "A"), (2, None, "A")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "part": ([(1, 20), (2, 30)], "p_partkey long, p_size int"),
+        "orders": ([(100, 1, "2-HIGH"), (101, 2, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": ([(100, 1, 1, 1, 1.0, 1.0, "F"), (101, 2, 1, 1, 1.0, 1.0, "F")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string"),
+    }
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    # one nation, so coverage 0 and 1 alone, as the SQL has it; part 2 is of no nation
+    assert dense(mapped.QUERIES["hist_bp_exclude"](spark, str(tmp_path))) == [40, 10]
+
+
 def test_bed_merge_rounds_quantities_and_takes_lines_without_an_order_as_its_sql_does(spark, tmp_path):
     from pathtally.plans import mapped
 
