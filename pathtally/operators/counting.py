@@ -283,8 +283,9 @@ class Counted:
             # base pairs that masks leave out count as not covered
             sums = {m: F.count("*") if m == "node" and len(own) > 1 else F.sum("weight") for m in own}
             rows = cov.groupBy(F.col("cov").alias("coverage")).agg(*[x.alias(m) for m, x in sums.items()], F.sum("uncovered").alias("left_out"))
-            for m in own:
-                parts += [rows.select(F.lit(m).alias("count"), "coverage", F.col(m).alias("n")), rows.select(F.lit(m).alias("count"), F.lit(0).alias("coverage"), F.col("left_out").alias("n"))]
+            # both from one row: a union of two selections would plan and compile everything below twice
+            pairs = [(m, at, n) for m in own for at, n in ((F.col("coverage"), F.col(m)), (F.lit(0), F.col("left_out")))]
+            parts.append(rows.select(F.inline(F.array(*[F.struct(F.lit(m).alias("count"), at.alias("coverage"), n.alias("n")) for m, at, n in pairs]))))
         rows = reduce(DataFrame.unionByName, parts).groupBy("count", "coverage").agg(F.sum("n").alias("n"))
         full = spark.range(self.n_named + 1).select(F.explode(F.array(*map(F.lit, measures))).alias("count"), F.col("id").cast("int").alias("coverage"))
         return full.join(rows, ["count", "coverage"], "left").select("count", "coverage", F.coalesce("n", F.lit(0)).alias("n"))

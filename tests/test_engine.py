@@ -462,6 +462,14 @@ def test_customers_without_a_nation_add_no_coverage(spark, tmp_path):
     assert dense(mapped.QUERIES["hist_bp_exclude"](spark, str(tmp_path))) == [40, 10]
 
 
+def test_a_histogram_plans_its_graph_once(spark):
+    from pathtally.plans import mapped
+
+    plan = mapped.QUERIES["hist_node"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # what masks leave out was a second branch with all of the graph below it, which filled the driver
+    assert "Union" not in plan
+
+
 def test_bed_merge_rounds_quantities_and_takes_lines_without_an_order_as_its_sql_does(spark, tmp_path):
     from pathtally.plans import mapped
 
